@@ -30,7 +30,8 @@ def features_of(t) -> DataFrame:
 
 
 def _divided(t) -> tuple[DataFrame, DataFrame]:
-    divided = split_exact(features_of(t), "ZIPCODE")
+    features = zip_features(t.incidents, t.inspections, t.fitness, t.violations)
+    divided = materialise(split_exact(features, "ZIPCODE"), "zip-split")
     return divided.where("split = 'train'"), divided.where("split = 'validate'")
 
 
@@ -132,16 +133,16 @@ def _kernel_bayes_sql() -> str:
         JOIN smooth a ON a.y = k.y AND a.f = k.f AND a.i = least(floor(s), 510)
         JOIN smooth b ON b.y = k.y AND b.f = k.f AND b.i = least(floor(s), 510) + 1),
     asked AS (SELECT v.ZIPCODE, sh.y, sh.f, least(greatest((x - low) / step, 0), 511) AS s
-        FROM ({long('validate')}) v JOIN sh ON sh.f = v.f),
+        FROM ({long('validate')}) v JOIN sh ON sh.f = v.f WHERE x IS NOT NULL),
     read AS (SELECT q.ZIPCODE, q.y, q.f, a.d + (b.d - a.d) * (s - least(floor(s), 510)) AS d FROM asked q
         JOIN dens a ON a.y = q.y AND a.f = q.f AND a.i = least(floor(s), 510)
         JOIN dens b ON b.y = q.y AND b.f = q.f AND b.i = least(floor(s), 510) + 1),
     logs AS (SELECT ZIPCODE, y, sum(ln(CASE WHEN d <= 0 THEN 0.001 ELSE d END))
-        + ln((SELECT count(*) FROM train t WHERE t.false_alarms_above_below_median = read.y)) AS l, count(*) AS k
+        + ln((SELECT count(*) FROM train t WHERE t.false_alarms_above_below_median = read.y)) AS l
         FROM read GROUP BY ZIPCODE, y)
     SELECT v.ZIPCODE, round(1 / (1 + exp(l0.l - l1.l)), 6) AS probability FROM validate v
-    LEFT JOIN logs l0 ON l0.ZIPCODE = v.ZIPCODE AND l0.y = 0 AND l0.k = 5
-    LEFT JOIN logs l1 ON l1.ZIPCODE = v.ZIPCODE AND l1.y = 1 AND l1.k = 5"""
+    LEFT JOIN logs l0 ON l0.ZIPCODE = v.ZIPCODE AND l0.y = 0
+    LEFT JOIN logs l1 ON l1.ZIPCODE = v.ZIPCODE AND l1.y = 1"""
 
 
 @query("ml_kde_naive_bayes", _kernel_bayes_sql())
@@ -159,7 +160,7 @@ def ml_random_forest(t):
 
 @query("ml_random_forest_balanced")
 def ml_random_forest_balanced(t):
-    divided = split_exact(_labelled_incidents(t), "STARFIRE_INCIDENT_ID")
+    divided = materialise(split_exact(_labelled_incidents(t), "STARFIRE_INCIDENT_ID"), "incident-split")
     model = fit_forest(divided.where("split = 'train'"), "false_alarm", FEATURES, FACTORS, (1.0, 10.0), balanced=True)
     return model.score(divided.where("split = 'validate'")).select("STARFIRE_INCIDENT_ID", "probability")
 

@@ -93,5 +93,5 @@ def model_row(df: DataFrame, name: str, prediction: str, truth: str) -> DataFram
 def compare(rows: list[DataFrame]) -> DataFrame:
     """Model rows together, the best by AUC flagged."""
     table = reduce(DataFrame.unionByName, rows)
-    best = table.agg(F.max_by("model", "auc")).scalar()
-    return table.withColumn("best", F.col("model") == best)
+    # One row per model, so a window over all of them is small.
+    return table.withColumn("best", F.col("model") == F.max_by("model", "auc").over(Window.partitionBy()))

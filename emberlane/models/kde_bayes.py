@@ -32,7 +32,7 @@ class KernelBayesModel:
     priors: DataFrame  # label, n
 
     def predict(self, queries: DataFrame, name: str = "probability") -> DataFrame:
-        """Add the posterior probability of label 1. Rows with a NULL feature get NULL.
+        """Add the posterior probability of label 1. A NULL feature is left out of its row's product.
 
         The model is labels x features rows of fixed size; it reaches the rows as a
         scalar, so the queries are neither joined nor shuffled.
@@ -48,7 +48,8 @@ class KernelBayesModel:
             log_share = F.ln(F.try_element_at("_counts", F.lit(label)).cast("double"))
             total = log_share
             for feature in self.features:
-                total = total + F.ln(_floored(_interpolated(label, feature)))
+                read = F.ln(_floored(_interpolated(label, feature)))
+                total = total + F.when(F.col(feature).isNull(), 0.0).otherwise(read)
             with_model = with_model.withColumn(f"_log{label}", total)
         odds = F.exp(F.col("_log0") - F.col("_log1"))
         return with_model.withColumn(name, F.lit(1.0) / (F.lit(1.0) + odds)).select(*queries.columns, name)

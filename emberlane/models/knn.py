@@ -24,11 +24,11 @@ MAX_PIVOTS = 1024
 LANE_ROWS = 20_000
 
 
-def _squared(features: Sequence[str], other) -> Column:
+def _squared(features: Sequence[str], other, own=F.col) -> Column:
     """Squared Euclidean distance, added up in the order of ``features``."""
     total = None
     for f in features:
-        gap = F.col(f) - other(f)
+        gap = own(f) - other(f)
         total = gap * gap if total is None else total + gap * gap
     return total
 
@@ -42,9 +42,9 @@ def _slack(distance: Column) -> Column:
 class KnnModel:
     features: list[str]
     k: int
-    points: DataFrame  # _id, label, features, _cell, _radius, _lane
-    pivots: Column  # array of structs with the features
-    cells: Column  # array of structs _cell, lanes, near, far
+    points: DataFrame | None  # _id, label, features, _cell, _radius, _lane
+    pivots: Column  # array of structs _id, label and the features
+    cells: Column | None  # array of structs _cell, lanes, near, far
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def predict(self, queries: DataFrame, name: str = "prediction") -> DataFrame:
@@ -53,6 +53,8 @@ class KnnModel:
         Equal distances are ordered by training id, equal votes by label. Rows with
         a NULL feature get no prediction. Equal queries are answered once.
         """
+        if self.points is None:
+            return self._predict_inline(queries, name)
         asked = _numeric(queries, self.features, self.scales)
         distinct = asked.na.drop("any").groupBy(*self.features).agg(F.lit(1).alias("_one")).drop("_one")
         votes = self.neighbours(distinct).groupBy(*self.features).agg(F.mode("label", True).alias(name))
@@ -60,6 +62,24 @@ class KnnModel:
         answers = votes.withColumnsRenamed({f: "_k_" + f for f in self.features})
         return lookup_join(keyed, answers, ["_k_" + f for f in self.features]).drop(*["_k_" + f for f in self.features])
 
+    def _predict_inline(self, queries: DataFrame, name: str) -> DataFrame:
+        known = F.lit(True)
+        for f in self.features:
+            known = known & F.col(f).isNotNull()
+        points = F.transform(
+            "_pivots",
+            lambda p: F.struct(
+                _squared(self.features, lambda f: p[f], lambda f: _scaled(f, self.scales)).alias("d2"), p["_id"], p["label"]
+            ),
+        )
+        labels = F.transform(F.slice(F.array_sort(points), 1, self.k), lambda p: p["label"])
+        votes = F.transform(
+            F.array_distinct("_labels"),
+            lambda v: F.struct((-F.size(F.filter("_labels", lambda x: x == v))).alias("against"), v.alias("label")),
+        )
+        answered = queries.withColumn("_pivots", self.pivots).withColumn("_labels", labels)
+        return answered.withColumn(name, F.when(known, F.array_min(votes)["label"])).select(*queries.columns, name)
+
     def neighbours(self, queries: DataFrame) -> DataFrame:
         """The k nearest training points of each distinct feature vector."""
         f = self.features
@@ -134,7 +154,13 @@ def _numeric(df: DataFrame, features: Sequence[str], scales: dict) -> DataFrame:
 
 
 def fit_knn(
-    train: DataFrame, key: str, label: str, features: Sequence[str], k: int = NEIGHBOURS, scale: bool = False
+    train: DataFrame,
+    key: str,
+    label: str,
+    features: Sequence[str],
+    k: int = NEIGHBOURS,
+    scale: bool = False,
+    max_pivots: int = MAX_PIVOTS,
 ) -> KnnModel:
     """Index the training rows without NULLs. ``scale`` standardises the features first."""
     features = list(features)
@@ -153,14 +179,17 @@ def fit_knn(
     copies = Window.partitionBy(*features).orderBy("_id")
     rows = rows.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     rows = materialise(rows, "knn-points")
-    wanted = min(MAX_PIVOTS, max(k, math.isqrt(rows.count())))
+    size = rows.count()
+    wanted = size if size <= max_pivots else min(max_pivots, max(k, math.isqrt(size)))
     pivots = (
-        rows.select(F.md5(F.col("_id").cast("string")).alias("_h"), "_id", F.struct(*features).alias("at"))
+        rows.withColumn("_h", F.md5(F.col("_id").cast("string")))
         .orderBy("_h", "_id")
         .limit(wanted)
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_h", "_id", "at"))), lambda p: p["at"]))
+        .agg(F.sort_array(F.collect_list(F.struct("_h", "_id", "label", *features))))
         .scalar()
     )
+    if wanted == size:
+        return KnnModel(features, k, None, pivots, None, scales)
     to_pivots = F.transform(
         "_pivots", lambda p, i: F.struct(F.sqrt(_squared(features, lambda name: p[name])).alias("radius"), i.alias("cell"))
     )
@@ -172,7 +201,7 @@ def fit_knn(
         F.min("_radius").alias("near"),
         F.max("_radius").alias("far"),
     )
-    # At most MAX_PIVOTS rows.
+    # At most max_pivots rows.
     cells = sizes.agg(F.collect_list(F.struct("_cell", "lanes", "near", "far"))).scalar()
     lanes = F.filter("_cells", lambda c: c["_cell"] == F.col("_cell"))[0]["lanes"]
     laned = assigned.withColumn("_cells", cells).withColumn("_lane", F.pmod(F.xxhash64("_id"), lanes.cast("long")).cast("int")).drop("_cells")

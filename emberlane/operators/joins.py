@@ -8,8 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys treated as hot by lookup_join: at most this many lookup rows are broadcast.
+# lookup_join: at most this many keys count as hot, those with more than this share of the
+# rows, and each is spread over this many lanes.
 HOT_KEYS = 64
+HOT_SHARE = 1 / 1000
+LANES = 64
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -51,43 +54,46 @@ def keep_first(df: DataFrame, keys: str | Sequence[str], ordinal: str) -> DataFr
     return first.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
 
 
-def lookup_join(fact: DataFrame, lookup: DataFrame, keys: str | Sequence[str], hot_keys: int = HOT_KEYS) -> DataFrame:
+def hot_keys(fact: DataFrame, *key_sets: str | Sequence[str]) -> list[list[int]]:
+    """Hashes of the keys that hold a large share of the rows, per set of key columns.
+
+    One pass over the key columns with a sketch of fixed size per task; nothing is
+    shuffled, and at most HOT_KEYS hashes per set come back to the driver.
+    """
+    hashes = [F.xxhash64(*_names(keys)).alias(f"_h{i}") for i, keys in enumerate(key_sets)]
+    sketches = [F.expr(f"approx_top_k(_h{i}, {HOT_KEYS}, {HOT_KEYS * 64})").alias(f"_h{i}") for i in range(len(key_sets))]
+    row = fact.select(*hashes).agg(F.count(F.lit(1)).alias("_n"), *sketches).first()
+    return [[top["item"] for top in row[f"_h{i}"] or [] if top["count"] > row["_n"] * HOT_SHARE] for i in range(len(key_sets))]
+
+
+def lookup_join(
+    fact: DataFrame, lookup: DataFrame, keys: str | Sequence[str], hot: Sequence[int] | None = None
+) -> DataFrame:
     """Null-safe left join of a large table to a lookup with at most one row per key.
 
-    Frequent keys of the large table are found with a fixed-size sketch. Their
-    lookup rows, ``hot_keys`` at most, are broadcast, and rows they match are
-    spread over all tasks in the following shuffle join instead of meeting in one.
-    The sketch being approximate changes the speed only: a frequent key it misses
-    is joined like any other.
+    Rows of ``fact`` with a hot key are spread over lanes, and the few lookup rows
+    of hot keys are repeated once per lane, so no task gets all rows of one key.
+    ``hot`` comes from ``hot_keys`` when the caller has it already; it decides where
+    rows are joined, never what they are joined to. Spark broadcasts the lookup if
+    its measured size allows it.
     """
     keys = _names(keys)
     values = [c for c in lookup.columns if c not in keys]
-    packed = lookup.select(*[F.col(k).alias("_r_" + k) for k in keys], F.struct(*values).alias("_packed"))
-    hashed = F.xxhash64(*["_r_" + k for k in keys])
-    if hot_keys <= 0:
-        found = fact.join(packed, _null_safe(keys, "_r_"), "left")
-        return found.select(*fact.columns, *[F.col("_packed")[v].alias(v) for v in values])
-
-    sketch = fact.select(F.xxhash64(*keys).alias("_h")).agg(
-        F.expr(f"transform(approx_top_k(_h, {hot_keys}, {hot_keys * 16}), top -> top.item)")
-    )
-    hot = packed.where(F.array_contains(sketch.scalar(), hashed)).withColumnRenamed("_packed", "_hot")
-    marked = fact.join(F.broadcast(hot), _null_safe(keys, "_r_"), "left").drop(*["_r_" + k for k in keys])
-    # Rows already served get a scatter key no lookup row has; the rest, and all lookup rows, get 0.
-    # The lookup's 0 is computed from its key so that it stays a join key and is not folded away.
-    scattered = marked.withColumn(
-        "_scatter", F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*fact.columns), F.lit(4096))).otherwise(F.lit(0))
-    )
-    cold = packed.withColumn("_lane", F.pmod(hashed, F.lit(1).cast("long")))
-    found = scattered.join(cold, _null_safe(keys, "_r_") & (F.col("_scatter") == F.col("_lane")), "left")
-    return found.select(
-        *fact.columns,
-        *[F.when(F.col("_hot").isNotNull(), F.col("_hot")[v]).otherwise(F.col("_packed")[v]).alias(v) for v in values],
-    )
+    if hot is None:
+        (hot,) = hot_keys(fact, keys)
+    if not hot:
+        return left_join_nullsafe(fact, lookup, keys).select(*fact.columns, *values)
+    is_hot = F.xxhash64(*keys).isin(list(hot))
+    # The partition id keeps copies of one row apart; it is the same when a task is run again.
+    lane = F.pmod(F.xxhash64(F.spark_partition_id(), *fact.columns), F.lit(LANES)).cast("int")
+    spread = fact.withColumn("_lane", F.when(is_hot, lane).otherwise(0))
+    lanes = F.when(is_hot, F.sequence(F.lit(0), F.lit(LANES - 1))).otherwise(F.array(F.lit(0)))
+    repeated = lookup.withColumn("_lane", F.explode(lanes))
+    return left_join_nullsafe(spread, repeated, [*keys, "_lane"]).select(*fact.columns, *values)
 
 
 def keep_first_join(
-    left: DataFrame, right: DataFrame, keys: str | Sequence[str], ordinal: str, hot_keys: int = HOT_KEYS
+    left: DataFrame, right: DataFrame, keys: str | Sequence[str], ordinal: str, hot: Sequence[int] | None = None
 ) -> DataFrame:
     """Left join to the first matching row only: the result has the rows of ``left``.
 
@@ -95,7 +101,7 @@ def keep_first_join(
     """
     keys = _names(keys)
     new = [c for c in right.columns if c not in left.columns or c in keys or c == ordinal]
-    return lookup_join(left, keep_first(right.select(*new), keys, ordinal), keys, hot_keys)
+    return lookup_join(left, keep_first(right.select(*new), keys, ordinal), keys, hot)
 
 
 def focus_on(df: DataFrame, focus: DataFrame, key: str) -> DataFrame:

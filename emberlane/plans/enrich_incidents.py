@@ -11,7 +11,7 @@ from emberlane.functions.dates import days_between, parse_mdy, parse_mdy_hms, ye
 from emberlane.functions.logic import collapse_false_alarms, corrected_borough, recode_boroughs
 from emberlane.functions.text import box_key, drop_first_char, pad_box_keep
 from emberlane.operators.filters import drop_first_row
-from emberlane.operators.joins import keep_first_join, lookup_join
+from emberlane.operators.joins import hot_keys, keep_first_join, lookup_join
 
 _NOT_KEPT = [
     "POLICEPRECINCT",
@@ -86,14 +86,15 @@ def enrich_incidents(
             "INCIDENT_DATETIME": F.to_date(parse_mdy_hms(F.col("INCIDENT_DATETIME"))),
         }
     )
-    with_box = keep_first_join(incidents, located, "ALARM_BOX_NUMBER", ordinal)
+    hot_boxes, hot_zips = hot_keys(incidents, "ALARM_BOX_NUMBER", "ZIPCODE")
+    with_box = keep_first_join(incidents, located, "ALARM_BOX_NUMBER", ordinal, hot_boxes)
     wanted = [
         (current_certificates(fitness, after_year, ordinal), ["EXPIRES_ON", "PREM_ADDR"]),
         (recode_boroughs(inspections), ["LAST_VISIT_DT", "LAST_FULL_INSP_DT", "LAST_INSP_STAT"]),
         (recode_boroughs(violations), ["VIO_LAW_NUM", "VIO_LAW_DESC", "VIO_DATE", "ACTION"]),
     ]
     by_zip = first_by_zip([(t, [c for c in columns if c in t.columns]) for t, columns in wanted], ordinal)
-    enriched = lookup_join(with_box, by_zip, "ZIPCODE")
+    enriched = lookup_join(with_box, by_zip, "ZIPCODE", hot_zips)
     enriched = enriched.withColumn("LAST_FULL_INSP_DT", parse_mdy(F.col("LAST_FULL_INSP_DT")))
     return enriched.withColumns(
         {

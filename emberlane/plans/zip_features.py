@@ -10,6 +10,7 @@ from emberlane.functions.dates import epoch_day, parse_mdy
 from emberlane.functions.logic import false_alarm, if_else
 from emberlane.operators.aggregates import center_on_median, median_of, strict_sum, weighted_median
 from emberlane.operators.joins import left_join_nullsafe
+from emberlane.session import materialise
 
 # The model features, in the order they are used in.
 FEATURES = [
@@ -72,9 +73,9 @@ def zip_features(dispatch: DataFrame, inspections: DataFrame, fitness: DataFrame
         date_medians_by_zip(violations, "VIO_DATE", "median_violation_date"),
     ):
         joined = left_join_nullsafe(joined, part, "ZIPCODE")
-    # The city-wide medians below read this small table again; without keeping it they
-    # would repeat the scans.
-    joined = joined.persist()
+    # The city-wide medians below read this small table again; unless it is written first
+    # they would repeat the scans.
+    joined = materialise(joined, "zip-parts")
     centered = center_on_median(joined, _CENTERED).drop(*_CENTERED)
     # The rate is joined after incomplete rows are dropped, so it alone may be NULL.
     needed = [c for c in centered.columns if c != "proportion_approved"]
