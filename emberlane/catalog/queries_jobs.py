@@ -44,8 +44,7 @@ def job_zips_in_focus(t):
 def job_top_alarm_boxes(t):
     features = features_of(t)
     focus = materialise(zips_in_focus(features), "focus")
-    incidents = materialise(focus_incidents(t.incidents, focus, features), "focus-incidents")
-    return top_alarm_boxes(incidents)
+    return top_alarm_boxes(focus_incidents(t.incidents, focus, features))
 
 
 @query(

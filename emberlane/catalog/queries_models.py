@@ -17,10 +17,10 @@ from emberlane.models.odds import class_weight, odds_by_group, odds_overall
 from emberlane.models.split import split_exact
 from emberlane.operators.aggregates import approval_rate
 from emberlane.operators.joins import lookup_join
+from emberlane.plans import top_alarm_boxes, zips_in_focus
 from emberlane.plans.incidents import clean_incidents
 from emberlane.plans.top_alarm_boxes import FACTORS
 from emberlane.plans.zip_features import FEATURES, LABEL, zip_features
-from emberlane.plans.zips_in_focus import compare_zip_models
 from emberlane.session import materialise
 
 
@@ -30,8 +30,7 @@ def features_of(t) -> DataFrame:
 
 
 def _divided(t) -> tuple[DataFrame, DataFrame]:
-    features = zip_features(t.incidents, t.inspections, t.fitness, t.violations)
-    divided = materialise(split_exact(features, "ZIPCODE"), "zip-split")
+    divided = split_exact(features_of(t), "ZIPCODE")
     return divided.where("split = 'train'"), divided.where("split = 'validate'")
 
 
@@ -160,7 +159,7 @@ def ml_random_forest(t):
 
 @query("ml_random_forest_balanced")
 def ml_random_forest_balanced(t):
-    divided = materialise(split_exact(_labelled_incidents(t), "STARFIRE_INCIDENT_ID"), "incident-split")
+    divided = split_exact(_labelled_incidents(t), "STARFIRE_INCIDENT_ID")
     model = fit_forest(divided.where("split = 'train'"), "false_alarm", FEATURES, FACTORS, (1.0, 10.0), balanced=True)
     return model.score(divided.where("split = 'validate'")).select("STARFIRE_INCIDENT_ID", "probability")
 
@@ -246,4 +245,33 @@ def eval_calibration(t):
 
 @query("eval_model_table")
 def eval_model_table(t):
-    return compare_zip_models(features_of(t))
+    return zips_in_focus.compare_zip_models(features_of(t))
+
+
+@query(
+    "eval_refit_zips",
+    f"""WITH {_PARTS_SQL}, known AS (SELECT * FROM s WHERE split <> 'test'), test AS (SELECT * FROM s WHERE split = 'test'),
+    p AS ({nearest('known', 'test')}),
+    scored AS (SELECT prediction, false_alarms_above_below_median AS truth FROM test LEFT JOIN p USING (ZIPCODE)),
+    cm AS (SELECT {_CELLS_SQL} FROM scored) SELECT 'knn' AS model, *, (tn + tp) / nullif(tn + fp + fn + tp, 0) AS accuracy,
+    tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall,
+    (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS auc FROM cm""",
+)
+def eval_refit_zips(t):
+    return zips_in_focus.refit_and_test(features_of(t))
+
+
+def _focus_incidents(t) -> DataFrame:
+    features = features_of(t)
+    focus = materialise(zips_in_focus.zips_in_focus(features), "focus")
+    return top_alarm_boxes.focus_incidents(t.incidents, focus, features)
+
+
+@query("eval_box_model_table")
+def eval_box_model_table(t):
+    return top_alarm_boxes.compare_box_models(_focus_incidents(t))
+
+
+@query("eval_refit_boxes")
+def eval_refit_boxes(t):
+    return top_alarm_boxes.refit_and_test(_focus_incidents(t))

@@ -8,7 +8,7 @@ from emberlane.catalog.registry import query
 from emberlane.catalog.snippets import FALSE_ALARM, date, day, split_sum as split_sum_sql
 from emberlane.functions import dates, logic, text
 from emberlane.functions.constants import APPROVED_STATUS, VIOLATION_STATUSES
-from emberlane.operators import aggregates, joins, ranking
+from emberlane.operators import aggregates, columns, joins, ranking
 from emberlane.plans import bin_features, zip_features
 from emberlane.plans.incidents import false_alarms_by_borough
 
@@ -104,6 +104,17 @@ def join_normalised_key(t):
     return joins.keep_first_join(incidents, boxes, "ALARM_BOX_NUMBER", "ordinal")
 
 
+@query(
+    "join_suffixes",
+    """SELECT ordinal, f.BOROUGH AS BOROUGH_x, f.COF_TYPE, v.BOROUGH AS BOROUGH_y, v.ACTION FROM fitness f JOIN violations v USING (ordinal)""",
+)
+def join_suffixes(t):
+    left, right = columns.suffix_clashes(
+        t.fitness.select("ordinal", "BOROUGH", "COF_TYPE"), t.violations.select("ordinal", "BOROUGH", "ACTION"), ["ordinal"]
+    )
+    return left.join(right, "ordinal")
+
+
 @query(
     "join_semi_focus",
     """SELECT STARFIRE_INCIDENT_ID, ZIPCODE FROM incidents

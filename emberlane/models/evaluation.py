@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.session import materialise
+
 AUC_BUCKETS = 256
 
 
@@ -35,12 +37,14 @@ def auc(df: DataFrame, score: str, truth: str, buckets: int = AUC_BUCKETS) -> Da
 
     Rows are first counted per distinct score. Distinct scores are cut into ranges
     of about equal size; pairs within a range come from a window over that range,
-    pairs across ranges from the range totals. No task sees all scores.
+    pairs across ranges from the range totals. No task sees all scores, and the scored
+    rows, which may be costly to compute, are read once.
     """
-    per_score = (
+    per_score = materialise(
         df.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
         .groupBy(F.col(score).cast("double").alias("s"))
-        .agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+        .agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")),
+        "auc-scores",
     )
     cuts = per_score.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10 * buckets)).scalar()
     ranged = per_score.withColumn("_cuts", F.array_distinct(cuts)).withColumn(

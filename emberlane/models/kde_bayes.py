@@ -43,31 +43,41 @@ class KernelBayesModel:
             )
         ).scalar()
         counts = self.priors.agg(F.map_from_entries(F.collect_list(F.struct("label", "n")))).scalar()
-        with_model = queries.withColumns({"_table": table, "_counts": counts})
+        # Step by step in named columns: one expression per value would be repeated wherever
+        # the value is used and grow beyond what Spark compiles.
+        pairs = [(label, feature) for label in (0, 1) for feature in self.features]
+        at = {pair: F.try_element_at("_table", F.lit(f"{pair[0]}|{pair[1]}")) for pair in pairs}
+        name_of = lambda step, pair: f"_{step}_{pair[0]}_{pair[1]}"
+        placed = queries.withColumns({"_table": table, "_counts": counts}).withColumns(
+            {name_of("place", p): _place(F.col(p[1]).cast("double"), at[p]) for p in pairs}
+        )
+        cut = placed.withColumns(
+            {name_of("left", p): F.least(F.floor(name_of("place", p)), F.lit(GRID - 2)).cast("int") for p in pairs}
+        )
+        read = cut.withColumns(
+            {
+                name_of(side, p): F.get(at[p]["density"], F.col(name_of("left", p)) + shift)
+                for p in pairs
+                for side, shift in (("low", 0), ("high", 1))
+            }
+        )
+        logs = {}
         for label in (0, 1):
-            log_share = F.ln(F.try_element_at("_counts", F.lit(label)).cast("double"))
-            total = log_share
-            for feature in self.features:
-                read = F.ln(_floored(_interpolated(label, feature)))
-                total = total + F.when(F.col(feature).isNull(), 0.0).otherwise(read)
-            with_model = with_model.withColumn(f"_log{label}", total)
+            logs[f"_log{label}"] = F.ln(F.try_element_at("_counts", F.lit(label)).cast("double"))
+            for p in pairs:
+                if p[0] == label:
+                    low, high = F.col(name_of("low", p)), F.col(name_of("high", p))
+                    density = low + (high - low) * (F.col(name_of("place", p)) - F.col(name_of("left", p)))
+                    # Densities are never negative, so the floor applies where one is 0.
+                    density = F.when(low + high <= 0, F.lit(FLOOR)).otherwise(density)
+                    logs[f"_log{label}"] += F.when(F.col(p[1]).isNull(), 0.0).otherwise(F.ln(density))
         odds = F.exp(F.col("_log0") - F.col("_log1"))
-        return with_model.withColumn(name, F.lit(1.0) / (F.lit(1.0) + odds)).select(*queries.columns, name)
+        return read.withColumns(logs).withColumn(name, F.lit(1.0) / (F.lit(1.0) + odds)).select(*queries.columns, name)
 
 
-def _floored(density: Column) -> Column:
-    return F.when(density <= 0, F.lit(FLOOR)).otherwise(density)
-
-
-def _interpolated(label: int, feature: str) -> Column:
-    """Density at the feature's value; outside the grid that of its nearest end."""
-    at = F.try_element_at("_table", F.lit(f"{label}|{feature}"))
-    place = F.least(
-        F.greatest((F.col(feature).cast("double") - at["low"]) / at["step"], F.lit(0.0)), F.lit(float(GRID - 1))
-    )
-    left = F.least(F.floor(place), F.lit(GRID - 2)).cast("int")
-    low, high = F.get(at["density"], left), F.get(at["density"], left + 1)
-    return low + (high - low) * (place - left)
+def _place(value: Column, shape: Column) -> Column:
+    """Position of a value on its grid; outside the grid that of the nearest end."""
+    return F.least(F.greatest((value - shape["low"]) / shape["step"], F.lit(0.0)), F.lit(float(GRID - 1)))
 
 
 def fit_kernel_bayes(train: DataFrame, label: str, features: Sequence[str]) -> KernelBayesModel:

@@ -20,8 +20,8 @@ from emberlane.operators.joins import lookup_join
 from emberlane.session import materialise
 
 MAX_PIVOTS = 1024
-# Rows of a cell joined as one group; larger cells are cut into lanes.
-LANE_ROWS = 20_000
+# Points and queries of a cell joined as one group; larger cells are cut into lanes both ways.
+LANE_ROWS = 10_000
 
 
 def _squared(features: Sequence[str], other, own=F.col) -> Column:
@@ -94,9 +94,12 @@ class KnnModel:
         home = F.filter("_cells", lambda c: c["_cell"] == F.col("_home"))
         first = self._nearest(placed.withColumn("_visit", home))
         # The home cell's k-th distance tightens the bound before other cells are considered.
-        bounded = first.groupBy(*f).agg(
-            F.when(F.count(F.lit(1)) >= self.k, F.sqrt(F.max("_d2"))).alias("_kth"),
-            F.collect_list(F.struct("_id", "label", "_d2")).alias("_found"),
+        bounded = materialise(
+            first.groupBy(*f).agg(
+                F.when(F.count(F.lit(1)) >= self.k, F.sqrt(F.max("_d2"))).alias("_kth"),
+                F.collect_list(F.struct("_id", "label", "_d2")).alias("_found"),
+            ),
+            "knn-bounds",
         )
         again = (
             bounded.withColumns({"_pivots": self.pivots, "_cells": self.cells})
@@ -118,18 +121,24 @@ class KnnModel:
     def _nearest(self, placed: DataFrame) -> DataFrame:
         """The k closest points of each query among the cells in ``_visit``."""
         f = self.features
-        visits = (
-            placed.select(*f, "_to", "_bound", F.explode("_visit").alias("_v"))
-            .select(
-                *f,
-                "_bound",
-                F.get(F.col("_to"), F.col("_v._cell")).alias("_d"),
-                F.col("_v._cell").alias("_cell"),
-                F.explode(F.sequence(F.lit(0), F.col("_v.lanes") - 1)).alias("_lane"),
-            )
+        visits = materialise(
+            placed.select(*f, "_to", "_bound", F.explode("_visit").alias("_v")).select(
+                *f, "_bound", F.get(F.col("_to"), F.col("_v._cell")).alias("_d"), F.col("_v._cell").alias("_cell"), "_v.lanes"
+            ),
+            "knn-visits",
+        )
+        # A cell that many queries visit is cut by queries too. One row per cell is broadcast.
+        crowds = F.broadcast(
+            visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / LANE_ROWS).cast("int").alias("_crowds"))
+        )
+        asking = (
+            visits.join(crowds, "_cell")
+            .withColumn("_crowd", F.pmod(F.xxhash64(*f), F.col("_crowds").cast("long")).cast("int"))
+            .withColumn("_lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
         )
-        points = self.points.withColumnsRenamed({name: "_p_" + name for name in f})
-        pairs = visits.join(points, ["_cell", "_lane"]).where(
+        answering = self.points.withColumnsRenamed({name: "_p_" + name for name in f}).join(crowds, "_cell")
+        answering = answering.withColumn("_crowd", F.explode(F.sequence(F.lit(0), F.col("_crowds") - 1)))
+        pairs = asking.drop("_crowds", "lanes").join(answering.drop("_crowds"), ["_cell", "_lane", "_crowd"]).where(
             F.abs(F.col("_d") - F.col("_radius")) <= F.col("_bound") + _slack(F.col("_d"))
         )
         scored = pairs.select(*f, "_id", "label", _squared(f, lambda name: F.col("_p_" + name)).alias("_d2"))

@@ -30,7 +30,9 @@ def split_exact(
     Rows are taken in the order of a hash of their unique key, so the parts do not
     depend on partitioning. Each part ends at the hash of its last row; those two
     hashes are found by counting hash prefixes and ordering only the rows that
-    share the prefix in question. The rows themselves are never sorted or shuffled.
+    share the prefix in question. The rows themselves are never sorted or shuffled:
+    they are compared with the two hashes, which are found right away, so ``df``
+    should be a table and not a long computation.
     """
     hashed = df.select(split_hash(key, seed).alias("_h")).withColumn("_prefix", F.substring("_h", 1, 4))
     if sizes is None:
@@ -55,14 +57,14 @@ def split_exact(
         .withColumn("_place", place)
         .where(F.col("_place") == F.col("_take"))
         .agg(F.struct(*[F.max(F.when(F.col("part") == i, F.col("_h"))).alias(f"h{i}") for i in (0, 1)]))
-        .scalar()
+        .first()[0]
     )
+    # An empty part ends where the one before it does.
+    train_end = last["h0"] or ""
+    validate_end = last["h1"] or train_end
     here = split_hash(key, seed)
     return df.withColumn(
-        name,
-        F.when(here <= F.coalesce(last["h0"], F.lit("")), LABELS[0])
-        .when(here <= F.coalesce(last["h1"], last["h0"], F.lit("")), LABELS[1])
-        .otherwise(LABELS[2]),
+        name, F.when(here <= train_end, LABELS[0]).when(here <= validate_end, LABELS[1]).otherwise(LABELS[2])
     )
 
 

@@ -12,8 +12,8 @@ def drop_first_row(df: DataFrame, ordinal: str) -> DataFrame:
 
 
 def any_gate(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """All rows if any row's key is in ``wanted``, else none."""
-    hits = df.select(key).join(wanted.select(key), key, "left_semi")
+    """All rows if any row's key is in ``wanted``, else none. Only distinct keys are compared."""
+    hits = df.select(key).distinct().join(wanted.select(key).distinct(), key, "left_semi")
     return df.where(hits.exists())
 
 

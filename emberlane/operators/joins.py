@@ -88,8 +88,9 @@ def lookup_join(
     lane = F.pmod(F.xxhash64(F.spark_partition_id(), *fact.columns), F.lit(LANES)).cast("int")
     spread = fact.withColumn("_lane", F.when(is_hot, lane).otherwise(0))
     lanes = F.when(is_hot, F.sequence(F.lit(0), F.lit(LANES - 1))).otherwise(F.array(F.lit(0)))
-    repeated = lookup.withColumn("_lane", F.explode(lanes))
-    return left_join_nullsafe(spread, repeated, [*keys, "_lane"]).select(*fact.columns, *values)
+    repeated = lookup.withColumn("_r_lane", F.explode(lanes)).withColumnsRenamed({k: "_r_" + k for k in keys})
+    same = _null_safe(keys, "_r_") & (F.col("_lane") == F.col("_r_lane"))
+    return spread.join(repeated, same, "left").select(*fact.columns, *values)
 
 
 def keep_first_join(
@@ -104,10 +105,7 @@ def keep_first_join(
     return lookup_join(left, keep_first(right.select(*new), keys, ordinal), keys, hot)
 
 
-def focus_on(df: DataFrame, focus: DataFrame, key: str) -> DataFrame:
-    """Keep the rows whose key is in ``focus``.
-
-    The distinct focus keys are at most one row per key; Spark broadcasts them
-    only when their measured size allows it.
-    """
-    return df.join(focus.select(key).distinct(), key, "left_semi")
+def focus_on(df: DataFrame, focus: DataFrame, key: str, hot: Sequence[int] | None = None) -> DataFrame:
+    """Keep the rows whose key is in ``focus``, spreading hot keys like ``lookup_join``."""
+    wanted = focus.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_wanted", F.lit(True))
+    return lookup_join(df.where(F.col(key).isNotNull()), wanted, key, hot).where("_wanted").drop("_wanted")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.operators.joins import lookup_join
+
 
 def top_n_with_ties(df: DataFrame, score: str, n: int = 10) -> DataFrame:
     """Rows with a score among the ``n`` highest, all rows tied at the last place included.
@@ -47,24 +49,26 @@ def exact_quantiles(
     sketch = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_total"), F.percentile_approx(value, edges, accuracy).alias("_edges")
     )
-    asked = sketch.select(
+    # A group may hold most of the rows; the join to its one sketch row spreads it.
+    asked = lookup_join(counted, sketch, keys).select(
         *keys,
+        value,
+        "_n",
         "_total",
-        F.explode(
+        F.inline(
             F.array(
                 *[
                     F.struct(F.lit(float(p)).alias("p"), F.col("_edges")[2 * i].alias("lo"), F.col("_edges")[2 * i + 1].alias("hi"))
                     for i, p in enumerate(probs)
                 ]
             )
-        ).alias("_ask"),
-    ).select(*keys, "_total", "_ask.*")
+        ),
+    )
     inside = F.col(value).between(F.col("lo"), F.col("hi"))
     # Everything below the interval becomes one counted row, apart from the value next to it,
     # which a wanted place may just reach; above it only the next value is of use.
     zones = (
-        counted.join(asked, keys)
-        .groupBy(
+        asked.groupBy(
             *keys,
             "p",
             "_total",

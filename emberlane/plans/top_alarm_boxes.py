@@ -14,32 +14,34 @@ from emberlane.models.logistic import LogisticModel, fit_logistic
 from emberlane.models.odds import class_weight
 from emberlane.models.split import split_exact
 from emberlane.operators.filters import any_gate
-from emberlane.operators.joins import focus_on, lookup_join
+from emberlane.operators.joins import focus_on, hot_keys, lookup_join
 from emberlane.operators.ranking import top_n_with_ties
 from emberlane.plans.incidents import clean_incidents
 from emberlane.plans.zip_features import FEATURES
+from emberlane.session import materialise
 
 OUTCOME = "false_alarm"
 FACTORS = ["incident_weekday", "incident_hour", "incident_month"]
 _KEPT = ["STARFIRE_INCIDENT_ID", "ZIPCODE", "ALARM_BOX_NUMBER", OUTCOME, *FACTORS]
 
 
-def focus_incidents(
-    dispatch: DataFrame, focus: DataFrame, features: DataFrame, focus_mode: str = "per_row", seed: int | None = None
-) -> DataFrame:
+def focus_incidents(dispatch: DataFrame, focus: DataFrame, features: DataFrame, focus_mode: str = "per_row") -> DataFrame:
     """Fire-related incidents in the focus zips with time factors, zip features and a split label.
 
-    ``focus_mode="any"`` keeps every incident as soon as one lies in a focus zip.
+    ``focus_mode="any"`` keeps every incident as soon as one lies in a focus zip. The
+    result is written once, since fitting and ranking read it many times.
     """
     fire = clean_incidents(dispatch).where(F.col("INCIDENT_CLASSIFICATION_GROUP").isin(FIRE_GROUPS))
     fire = fire.withColumn("ZIPCODE", F.col("ZIPCODE").cast("long"))
-    chosen = any_gate(fire, "ZIPCODE", focus) if focus_mode == "any" else focus_on(fire, focus, "ZIPCODE")
+    # Frequent zips are looked for in the plain table, which takes one pass over one column.
+    (hot,) = hot_keys(dispatch.select(F.col("ZIPCODE").cast("long")), "ZIPCODE")
+    chosen = any_gate(fire, "ZIPCODE", focus) if focus_mode == "any" else focus_on(fire, focus, "ZIPCODE", hot)
     named = chosen.withColumns(
         {"incident_month": month_name(F.col("INCIDENT_DATETIME")), "incident_hour": F.col("incident_hour").cast("string")}
     )
     complete = named.select(*_KEPT).na.drop("any")
-    joined = lookup_join(complete, features.select("ZIPCODE", *FEATURES), "ZIPCODE")
-    return split_exact(joined, "STARFIRE_INCIDENT_ID")
+    joined = lookup_join(complete, features.select("ZIPCODE", *FEATURES), "ZIPCODE", hot)
+    return split_exact(materialise(joined, "focus-incidents"), "STARFIRE_INCIDENT_ID")
 
 
 def _part(incidents: DataFrame, *names: str) -> DataFrame:
