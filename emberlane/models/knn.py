@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlane.functions.constants import NEIGHBOURS
 from emberlane.operators.joins import lookup_join
@@ -33,19 +35,98 @@ def _squared(features: Sequence[str], other, own=F.col) -> Column:
     return total
 
 
-def _slack(distance: Column) -> Column:
+@dataclass
+class Cells:
+    """At most max_pivots cells: pivot positions, least and greatest distance of a member, lanes (0: empty)."""
+
+    pivots: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    lanes: np.ndarray
+
+    def distances(self, at: np.ndarray) -> np.ndarray:
+        """Distances of rows to all pivots, added up feature by feature as in ``_squared``."""
+        total = np.zeros((len(at), len(self.pivots)))
+        for i in range(at.shape[1]):
+            gap = at[:, i, None] - self.pivots[None, :, i]
+            total += gap * gap
+        return np.sqrt(total)
+
+
+def _slack(distance: np.ndarray) -> np.ndarray:
     """Keeps rounding of distances from ruling out a cell or point that ties."""
-    return F.lit(1e-9) * (F.lit(1.0) + F.abs(distance))
+    return 1e-9 * (1.0 + np.abs(distance))
+
+
+def _chunks(batches, size: int = 1000):
+    for batch in batches:
+        for start in range(0, len(batch), size):
+            yield batch.iloc[start : start + size]
+
+
+def _pivot_bound(distances: np.ndarray, k: int) -> np.ndarray:
+    """Pivots are training points: the k-th nearest pivot bounds the k-th neighbour."""
+    if distances.shape[1] < k:
+        return np.full(len(distances), np.inf)
+    return np.partition(distances, k - 1, axis=1)[:, k - 1]
+
+
+def _visit_schema(features: Sequence[str]) -> str:
+    return ", ".join([*[f"`{f}` double" for f in features], "_bound double", "_d double", "_cell int"])
+
+
+def _assigned(cells: Cells, features: list[str]):
+    """Add the nearest pivot and the distance to it."""
+
+    def assign(batches):
+        for batch in _chunks(batches):
+            to = cells.distances(batch[features].to_numpy(float))
+            cell = to.argmin(axis=1)
+            yield batch.assign(_cell=cell.astype(np.int32), _radius=to[np.arange(len(to)), cell])
+
+    return assign
+
+
+def _home_visits(cells: Cells, features: list[str], k: int):
+    """One visit per query: the cell of its nearest pivot."""
+
+    def visit(batches):
+        for batch in _chunks(batches):
+            to = cells.distances(batch[features].to_numpy(float))
+            home = to.argmin(axis=1)
+            d = to[np.arange(len(to)), home]
+            yield batch[features].assign(_bound=_pivot_bound(to, k) + _slack(d), _d=d, _cell=home.astype(np.int32))
+
+    return visit
+
+
+def _other_visits(cells: Cells, features: list[str], k: int):
+    """Visits to all other cells that can hold a point within the bound."""
+
+    def visit(batches):
+        for batch in _chunks(batches):
+            to = cells.distances(batch[features].to_numpy(float))
+            nearest = to.min(axis=1)
+            bound = np.fmin(batch["_kth"].to_numpy(float), _pivot_bound(to, k))
+            limit = bound[:, None] + _slack(to)
+            least = np.maximum(np.maximum(to - cells.far, cells.near - to), (to - nearest[:, None]) / 2)
+            open_cells = (least <= limit) & (cells.lanes > 0)
+            open_cells[np.arange(len(to)), to.argmin(axis=1)] = False
+            row, cell = np.nonzero(open_cells)
+            found = batch[features].iloc[row].reset_index(drop=True)
+            yield found.assign(_bound=limit[row, cell], _d=to[row, cell], _cell=cell.astype(np.int32))
+
+    return visit
 
 
 @dataclass
 class KnnModel:
     features: list[str]
     k: int
-    points: DataFrame | None  # _id, label, features, _cell, _radius, _lane
-    pivots: Column  # array of structs _id, label and the features
-    cells: Column | None  # array of structs _cell, lanes, near, far
-    scales: dict[str, tuple[float, float]] = field(default_factory=dict)
+    scales: dict[str, tuple[float, float]]
+    inline: Column | None = None  # all points as an array of structs, for a small training set
+    points: DataFrame | None = None  # otherwise _id, label, features, _cell, _radius, _lane
+    cells: Cells | None = None
 
     def predict(self, queries: DataFrame, name: str = "prediction") -> DataFrame:
         """``queries`` with the majority label of the k nearest training points.
@@ -77,22 +158,14 @@ class KnnModel:
             F.array_distinct("_labels"),
             lambda v: F.struct((-F.size(F.filter("_labels", lambda x: x == v))).alias("against"), v.alias("label")),
         )
-        answered = queries.withColumn("_pivots", self.pivots).withColumn("_labels", labels)
+        answered = queries.withColumn("_pivots", self.inline).withColumn("_labels", labels)
         return answered.withColumn(name, F.when(known, F.array_min(votes)["label"])).select(*queries.columns, name)
 
     def neighbours(self, queries: DataFrame) -> DataFrame:
         """The k nearest training points of each distinct feature vector."""
         f = self.features
-        to_pivots = F.transform("_pivots", lambda p: F.sqrt(_squared(f, lambda name: p[name])))
-        placed = (
-            queries.select(*f, self.pivots.alias("_pivots"), self.cells.alias("_cells"))
-            .withColumn("_to", to_pivots)
-            # Pivots are training points: the k-th nearest pivot bounds the k-th neighbour.
-            .withColumn("_bound", F.coalesce(F.get(F.array_sort("_to"), F.lit(self.k - 1)), F.lit(float("inf"))))
-            .withColumn("_home", F.array_position("_to", F.array_min("_to")).cast("int") - 1)
-        )
-        home = F.filter("_cells", lambda c: c["_cell"] == F.col("_home"))
-        first = self._nearest(placed.withColumn("_visit", home))
+        home = _home_visits(self.cells, f, self.k)
+        first = self._nearest(queries.select(*f).mapInPandas(home, _visit_schema(f)))
         # The home cell's k-th distance tightens the bound before other cells are considered.
         bounded = materialise(
             first.groupBy(*f).agg(
@@ -101,46 +174,30 @@ class KnnModel:
             ),
             "knn-bounds",
         )
-        again = (
-            bounded.withColumns({"_pivots": self.pivots, "_cells": self.cells})
-            .withColumn("_to", to_pivots)
-            .withColumn("_home", F.array_position("_to", F.array_min("_to")).cast("int") - 1)
-            .withColumn("_pivot_bound", F.coalesce(F.get(F.array_sort("_to"), F.lit(self.k - 1)), F.lit(float("inf"))))
-            .withColumn("_bound", F.least(F.coalesce("_kth", F.lit(float("inf"))), "_pivot_bound"))
-        )
-
-        def may_hold(cell):
-            d = F.get(F.col("_to"), cell["_cell"])
-            least = F.greatest(d - cell["far"], cell["near"] - d, (d - F.array_min("_to")) / 2)
-            return (cell["_cell"] != F.col("_home")) & (least <= F.col("_bound") + _slack(d))
-
-        others = self._nearest(again.withColumn("_visit", F.filter("_cells", may_hold)))
+        other = _other_visits(self.cells, f, self.k)
+        others = self._nearest(bounded.select(*f, "_kth").mapInPandas(other, _visit_schema(f)))
         known = bounded.select(*f, F.inline("_found"))
         return self._closest(known.unionByName(others.select(known.columns)))
 
-    def _nearest(self, placed: DataFrame) -> DataFrame:
-        """The k closest points of each query among the cells in ``_visit``."""
+    def _nearest(self, asked: DataFrame) -> DataFrame:
+        """The k closest points of each query among the cells it visits."""
         f = self.features
-        visits = materialise(
-            placed.select(*f, "_to", "_bound", F.explode("_visit").alias("_v")).select(
-                *f, "_bound", F.get(F.col("_to"), F.col("_v._cell")).alias("_d"), F.col("_v._cell").alias("_cell"), "_v.lanes"
-            ),
-            "knn-visits",
-        )
+        visits = materialise(asked, "knn-visits")
         # A cell that many queries visit is cut by queries too. One row per cell is broadcast.
         crowds = F.broadcast(
             visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / LANE_ROWS).cast("int").alias("_crowds"))
         )
+        lanes = F.sequence(F.lit(0), F.element_at(F.lit(self.cells.lanes.tolist()), F.col("_cell") + 1) - 1)
         asking = (
             visits.join(crowds, "_cell")
             .withColumn("_crowd", F.pmod(F.xxhash64(*f), F.col("_crowds").cast("long")).cast("int"))
-            .withColumn("_lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
-        )
-        answering = self.points.withColumnsRenamed({name: "_p_" + name for name in f}).join(crowds, "_cell")
-        answering = answering.withColumn("_crowd", F.explode(F.sequence(F.lit(0), F.col("_crowds") - 1)))
-        pairs = asking.drop("_crowds", "lanes").join(answering.drop("_crowds"), ["_cell", "_lane", "_crowd"]).where(
-            F.abs(F.col("_d") - F.col("_radius")) <= F.col("_bound") + _slack(F.col("_d"))
+            .withColumn("_lane", F.explode(lanes))
+            .drop("_crowds")
         )
+        points = self.points.withColumnsRenamed({name: "_p_" + name for name in f}).join(crowds, "_cell")
+        answering = points.withColumn("_crowd", F.explode(F.sequence(F.lit(0), F.col("_crowds") - 1))).drop("_crowds")
+        gap = F.abs(F.col("_d") - F.col("_radius"))
+        pairs = asking.join(answering, ["_cell", "_lane", "_crowd"]).where(gap <= F.col("_bound"))
         scored = pairs.select(*f, "_id", "label", _squared(f, lambda name: F.col("_p_" + name)).alias("_d2"))
         return self._closest(scored)
 
@@ -190,30 +247,24 @@ def fit_knn(
     rows = materialise(rows, "knn-points")
     size = rows.count()
     wanted = size if size <= max_pivots else min(max_pivots, max(k, math.isqrt(size)))
-    pivots = (
-        rows.withColumn("_h", F.md5(F.col("_id").cast("string")))
-        .orderBy("_h", "_id")
-        .limit(wanted)
-        .agg(F.sort_array(F.collect_list(F.struct("_h", "_id", "label", *features))))
-        .scalar()
-    )
+    chosen = rows.withColumn("_h", F.md5(F.col("_id").cast("string"))).orderBy("_h", "_id").limit(wanted)
     if wanted == size:
-        return KnnModel(features, k, None, pivots, None, scales)
-    to_pivots = F.transform(
-        "_pivots", lambda p, i: F.struct(F.sqrt(_squared(features, lambda name: p[name])).alias("radius"), i.alias("cell"))
-    )
-    assigned = rows.withColumn("_pivots", pivots).withColumn("_at", F.array_min(to_pivots)).select(
-        "_id", "label", *features, F.col("_at.cell").alias("_cell"), F.col("_at.radius").alias("_radius")
+        everything = chosen.agg(F.sort_array(F.collect_list(F.struct("_h", "_id", "label", *features)))).scalar()
+        return KnnModel(features, k, scales, inline=everything)
+    # At most max_pivots pivots, and as many cells, come to the driver and go out with the tasks.
+    pivots = np.array([[r[f] for f in features] for r in chosen.collect()], dtype=float)
+    blank = np.zeros(len(pivots))
+    schema = T.StructType(
+        [*rows.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_radius", T.DoubleType())]
     )
+    assigned = materialise(rows.mapInPandas(_assigned(Cells(pivots, blank, blank, blank), features), schema), "knn-cells")
     sizes = assigned.groupBy("_cell").agg(
         F.ceil(F.count(F.lit(1)) / LANE_ROWS).cast("int").alias("lanes"),
         F.min("_radius").alias("near"),
         F.max("_radius").alias("far"),
     )
-    # At most max_pivots rows.
-    cells = sizes.agg(F.collect_list(F.struct("_cell", "lanes", "near", "far"))).scalar()
-    lanes = F.filter("_cells", lambda c: c["_cell"] == F.col("_cell"))[0]["lanes"]
-    laned = assigned.withColumn("_cells", cells).withColumn("_lane", F.pmod(F.xxhash64("_id"), lanes.cast("long")).cast("int")).drop("_cells")
-    # The points are written with their cells, so that both rounds of a prediction read them.
-    points = materialise(laned, "knn-cells")
-    return KnnModel(features, k, points, pivots, cells, scales)
+    cells = Cells(pivots, blank.copy(), blank.copy(), blank.astype(int))
+    for r in sizes.collect():
+        cells.near[r["_cell"]], cells.far[r["_cell"]], cells.lanes[r["_cell"]] = r["near"], r["far"], r["lanes"]
+    lane = F.pmod(F.xxhash64("_id"), F.element_at(F.lit(cells.lanes.tolist()), F.col("_cell") + 1).cast("long"))
+    return KnnModel(features, k, scales, points=assigned.withColumn("_lane", lane.cast("int")), cells=cells)
