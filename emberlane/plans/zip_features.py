@@ -35,8 +35,8 @@ def _day(text: str) -> Column:
 
 def date_medians_by_zip(table: DataFrame, date: str, name: str) -> DataFrame:
     """Median day per POSTCODE. Rows are counted per date text first, so each text is parsed once per zip."""
-    counted = table.groupBy("POSTCODE", date).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.groupBy(F.col("POSTCODE").alias("ZIPCODE")).agg(weighted_median(_day(date), "_n").alias(name))
+    counted = table.groupBy("POSTCODE", date).agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", _day(date))
+    return counted.groupBy(F.col("POSTCODE").alias("ZIPCODE")).agg(weighted_median("_day", "_n").alias(name))
 
 
 def false_alarms_by_zip(dispatch: DataFrame) -> DataFrame:
@@ -56,9 +56,10 @@ def inspections_by_zip(inspections: DataFrame) -> DataFrame:
         F.count_if((status == APPROVED_STATUS) & numbered).alias("_approved"),
         F.count_if(status.isNotNull() & numbered).alias("_rated"),
     )
+    counted = counted.withColumn("_day", _day("LAST_FULL_INSP_DT"))
     return counted.groupBy(F.col("POSTCODE").alias("ZIPCODE")).agg(
         F.sum("_vio").alias("last_inspection_status_vio"),
-        weighted_median(_day("LAST_FULL_INSP_DT"), "_n", strict=True).alias("median_last_full_inspection_date"),
+        weighted_median("_day", "_n", strict=True).alias("median_last_full_inspection_date"),
         F.try_divide(F.sum("_approved"), F.sum("_rated")).alias("proportion_approved"),
     )
 
