@@ -71,8 +71,11 @@ class KernelBayesModel:
                     # Densities are never negative, so the floor applies where one is 0.
                     density = F.when(low + high <= 0, F.lit(FLOOR)).otherwise(density)
                     logs[f"_log{label}"] += F.when(F.col(p[1]).isNull(), 0.0).otherwise(F.ln(density))
-        odds = F.exp(F.col("_log0") - F.col("_log1"))
-        return read.withColumns(logs).withColumn(name, F.lit(1.0) / (F.lit(1.0) + odds)).select(*queries.columns, name)
+        posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_log0") - F.col("_log1")))
+        seen = {label: F.try_element_at("_counts", F.lit(label)).isNotNull() for label in (0, 1)}
+        # A class without training rows is never predicted.
+        posterior = F.when(~seen[1], 0.0).when(~seen[0], 1.0).otherwise(posterior)
+        return read.withColumns(logs).withColumn(name, posterior).select(*queries.columns, name)
 
 
 def _place(value: Column, shape: Column) -> Column:

@@ -194,6 +194,12 @@ def test_kernel_bayes_without_spread(spark):
     assert near[0] < 0.5 < near[1] and near[2] == pytest.approx(0.5)
 
 
+def test_kernel_bayes_with_one_class(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0)], "y int, a double")
+    model = kde_bayes.fit_kernel_bayes(df, "y", ["a"])
+    assert model.predict(spark.createDataFrame([(1.5,)], "a double")).first().probability == 1.0
+
+
 def test_odds_equal_the_fitted_model(spark):
     rows = [(g, y) for g, n1, n0 in [("A", 5, 15), ("B", 9, 11), ("C", 2, 8)] for y in [1] * n1 + [0] * n0]
     df = spark.createDataFrame(rows, "g string, y int")
