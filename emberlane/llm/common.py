@@ -29,13 +29,15 @@ def id_type(df: DataFrame) -> str:
     return df.schema["id"].dataType.simpleString()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` bytes of ``column``, or of one row."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 30
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of ``column`` and ``rows`` rows, or of one row."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for row, size in enumerate(sizes):
-            if row > start and held + size > most:
+            if row > start and (held + size > most or row - start >= rows):
                 yield batch.slice(start, row - start)
                 start, held = row, 0
             held += int(size)
