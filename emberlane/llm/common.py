@@ -30,7 +30,7 @@ def id_type(df: DataFrame) -> str:
 
 
 def slices(
-    batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 30
+    batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = SLICE_BYTES, rows: int = 1 << 30
 ) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of ``column`` and ``rows`` rows, or of one row."""
     for batch in batches:

@@ -382,3 +382,30 @@ def find_personal_data(
     ddl = f"id {id_type(rows)}, {_FOUND}"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     return rows.mapInArrow(_find(crf or train(), schema, with_text), ddl).withColumnRenamed("id", id_col)
+
+
+def mask_rows(
+    docs: DataFrame, *, crf: Field | None = None, text_col: str = "text", length_col: str | None = "n_chars"
+) -> DataFrame:
+    """The rows of ``docs`` with all spans in the text replaced by their kind, and the length column to match.
+
+    Rows without spans, null texts among them, stay as they are, and so do all other columns; nothing is shuffled.
+    """
+    crf = crf or train()
+    place = docs.columns.index(text_col)
+    length = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place):
+            texts = batch.column(place).to_pylist()
+            found = all_spans([t or "" for t in texts], crf)
+            new = [masked(t, spans) if spans else t for t, (_, spans) in zip(texts, found, strict=True)]
+            columns = list(batch.columns)
+            columns[place] = pa.array(new, columns[place].type)
+            if length is not None:
+                old = columns[length].to_pylist()
+                sizes = [len(t) if spans else n for t, n, (_, spans) in zip(new, old, found, strict=True)]
+                columns[length] = pa.array(sizes, columns[length].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
