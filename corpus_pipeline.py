@@ -6,19 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlane.llm import packing, queries
+from emberlane.llm import language, near_dedup, packing, pii, queries
 from emberlane.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the corpus's own languages: the model learns from the labelled ones, and what it rejects goes."""
+    return language.keep_accepted(docs, language.fit(docs))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are near-duplicates of each other, directly or over others, the one with the smallest id."""
+    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = materialise(kept, "kept-documents").withColumnRenamed("doc_id", "kept_id")
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with every span of personal data replaced by its kind."""
+    return pii.mask_rows(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their places in sequences."""
     return packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", known_languages),
+    ("near_duplicates", one_of_each_group),
+    ("personal_data", without_personal_data),
+    ("packing", packed),
+]
 
+#: No SQL expresses trained models, signatures or a tokenizer.
 ORACLE_SQL = None
 
 
