@@ -18,6 +18,10 @@ from emberlane.llm.common import id_type, keyed_text, slices, whole_text
 UNKNOWN = "und"
 #: Hashed byte pairs and triples share this many places.
 DIMENSIONS = 4096
+#: A text of few terms lies far from any centroid whatever its language. So the distance that is still accepted falls
+#: from ``SHORT_RADIUS`` to the language's own radius, half-way at ``HALF_WAY`` distinct terms.
+SHORT_RADIUS = 0.98
+HALF_WAY = 100
 _ROWS = 1000
 _LETTER = re.compile(r"[^\W\d_]")
 # Lower-case letters and all bytes of non-ASCII characters stay, the rest becomes a space.
@@ -63,7 +67,9 @@ class LanguageModel:
             return []
         if not self.languages:
             return [(UNKNOWN, 0.0, False)] * len(texts)
-        cosine = weighted(term_counts(texts), self.idf) @ self.centroids.T
+        counts = term_counts(texts)
+        short = HALF_WAY / (HALF_WAY + (counts > 0).sum(axis=1))
+        cosine = weighted(counts, self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         found = []
         for i, text in enumerate(texts):
@@ -71,7 +77,9 @@ class LanguageModel:
                 found.append((UNKNOWN, 0.0, False))
                 continue
             near = float(min(1.0, max(0.0, cosine[i, best[i]])))
-            found.append((self.languages[best[i]], near, 1 - near <= self.radius[best[i]]))
+            radius = self.radius[best[i]]
+            allowed = radius + max(0.0, SHORT_RADIUS - radius) * short[i]
+            found.append((self.languages[best[i]], near, bool(1 - near <= allowed)))
         return found
 
 
@@ -105,7 +113,7 @@ def fit(
     rows_per_language: int = 250,
     clusters: int = 4,
     rounds: int = 8,
-    slack: float = 0.05,
+    slack: float = 0.1,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm import bpe, fingerprints, html_text, language, licenses, near_dedup, packing, pii, token_counts
+from emberlane.llm import bpe, fingerprints, html_text, language, licenses, near_dedup, neighbours, packing, pii, token_counts
 from emberlane.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+@register
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_of_every_hundredth(table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = scratch_path(spark, "token-count-cache")
