@@ -60,17 +60,30 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame
     return docs.mapInArrow(_cut(tokenizer_path, capacity, to_arrow_schema(StructType.fromDDL(ddl))), ddl)
 
 
-def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+PlanRow = tuple[int, int, int, int, int, int]
+
+
+def plan_sequences(counts: dict[int, int], capacity: int) -> list[PlanRow]:
     """Rows (length, first_rank, n_ranks, per_sequence, first_sequence, offset) that place all pieces.
 
     Ranks first_rank ... of a length lie, ``per_sequence`` in each, in consecutive sequences at ``offset`` and after it.
+    With few pieces, filling some sequences exactly can leave pieces that fit together badly; the plan that only fits each
+    length where it fits best is taken if it needs fewer sequences.
+    """
+    plans = [_plan(counts, capacity, exact) for exact in (True, False)]
+    return min(plans, key=lambda plan: plan[1])[0]
+
+
+def _plan(counts: dict[int, int], capacity: int, exact: bool) -> tuple[list[PlanRow], int]:
+    """A plan and its number of sequences.
+
     Longest lengths first: where one, two or three available lengths fill a sequence's gap exactly, as many such sequences
     are made as the counts allow. What is left goes, longest first, into the smallest gap that holds it.
     Each step uses up a length or a group of equal gaps, so the plan's size depends on the capacity, not on the pieces.
     """
     left = {length: n for length, n in counts.items() if n}
     used: dict[int, int] = defaultdict(int)
-    rows: list[tuple[int, int, int, int, int, int]] = []
+    rows: list[PlanRow] = []
     sequences = 0
 
     def place(length: int, n: int, each: int, first: int, offset: int) -> None:
@@ -108,7 +121,7 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, int
                     return (length, a, b, c)
         return None
 
-    for length in sorted(left, reverse=True):
+    for length in sorted(left, reverse=True) if exact else []:
         while length in left and (parts := complement(length)):
             n, offset = fits(parts), 0
             for part in sorted(set(parts), reverse=True):
@@ -139,10 +152,10 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, int
                 gaps[gap].append((first + n, there - n))
             if rest := gap - length * each:
                 gaps[rest].append((first, n))
-    return rows
+    return rows, sequences
 
 
-def _locate(plan: list[tuple[int, int, int, int, int, int]], schema: pa.Schema):
+def _locate(plan: list[PlanRow], schema: pa.Schema):
     table = np.array(sorted(plan), dtype=np.int64).reshape(-1, 6)
     # Lengths below 2**20 and ranks below 2**43 in one sortable number.
     keys = (table[:, 0] << 43) + table[:, 1]

@@ -59,6 +59,8 @@ def add_missing_counts(rows: DataFrame, tokenizer_path: str, cache_path: str) ->
         "left_semi",
     )
     found = texts.select("content", "text").mapInArrow(_encode(tokenizer_path), "content binary, n_tokens bigint")
+    # Rows that repeat both id and text are encoded each; the cache gets their count once.
+    found = found.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     found.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
 
 
