@@ -17,6 +17,7 @@ from emberlane.catalog.snippets import (
     recoded,
     split_sum as split_sum_sql,
 )
+from emberlane.catalog.views import VIEWS
 from emberlane.functions import dates, logic, text
 from emberlane.functions.constants import FIRE_GROUPS, FIRE_MARK
 from emberlane.operators import columns, filters
@@ -48,19 +49,29 @@ def src_csv_blank(t):
     return read_csv_blank(t.spark, path, raw.schema)
 
 
+@query("src_csv_reordered", "SELECT BIN, POSTCODE, nullif(BOROUGH, '') AS BOROUGH, PREM_ADDR, COF_TYPE, EXPIRES_ON, ordinal FROM fitness")
+def src_csv_reordered(t):
+    """The file has the columns in another order, and line breaks inside quotes."""
+    path = scratch_path(t.spark, "csv")
+    broken = t.fitness.withColumn("COF_TYPE", F.replace("COF_TYPE", F.lit(" "), F.lit("\n")))
+    broken = broken.withColumn("BOROUGH", F.nullif("BOROUGH", F.lit("")))
+    broken.select(*reversed(broken.columns)).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    read = read_csv_null(t.spark, path, t.fitness.schema, multi_line=True)
+    return read.withColumns({"COF_TYPE": F.replace("COF_TYPE", F.lit("\n"), F.lit(" "))})
+
+
 @query(
     "src_year_partition",
-    f"""SELECT BIN, COF_TYPE, EXPIRES_ON, ordinal, CAST(year({date('EXPIRES_ON')}) AS INT) AS year FROM fitness
+    f"""SELECT *, CAST(year({date('EXPIRES_ON')}) AS INT) AS year FROM fitness
     WHERE year({date('EXPIRES_ON')}) = 1998 OR {date('EXPIRES_ON')} IS NULL""",
 )
 def src_year_partition(t):
     path = scratch_path(t.spark, "by-year")
-    dated = t.fitness.select("BIN", "COF_TYPE", "EXPIRES_ON", "ordinal")
-    write_by_year(dated.withColumn("year", F.year(dates.parse_mdy(F.col("EXPIRES_ON")))), path)
+    write_by_year(t.fitness.withColumn("year", F.year(dates.parse_mdy(F.col("EXPIRES_ON")))), path)
     return read_year(t.spark, path, 1998).unionByName(read_year(t.spark, path, None))
 
 
-_PREVIEWED = ["ordinal", "BIN", "POSTCODE", "BOROUGH", "LAST_INSP_STAT", "LAST_FULL_INSP_DT"]
+_PREVIEWED = list(VIEWS["inspections"][0][2])
 
 
 @query(
@@ -74,7 +85,7 @@ _PREVIEWED = ["ordinal", "BIN", "POSTCODE", "BOROUGH", "LAST_INSP_STAT", "LAST_F
     ),
 )
 def src_preview(t):
-    return columns.preview(t.inspections.select(*_PREVIEWED), "ordinal")
+    return columns.preview(t.inspections, "ordinal")
 
 
 @query("agg_row_count", "SELECT count(*) AS n, 10 AS n_columns FROM incidents")
@@ -213,7 +224,7 @@ def flt_any_gate(t):
     return filters.any_gate(t.incidents, "ZIPCODE", urgent).select("STARFIRE_INCIDENT_ID", "ZIPCODE")
 
 
-_INSPECTED = ["BIN", "POSTCODE", "ALPHA", "LAST_INSP_STAT", "LAST_FULL_INSP_DT", "ordinal"]
+_INSPECTED = list(VIEWS["inspections"][0][2])
 
 
 @query(
@@ -221,7 +232,7 @@ _INSPECTED = ["BIN", "POSTCODE", "ALPHA", "LAST_INSP_STAT", "LAST_FULL_INSP_DT",
     f"SELECT {', '.join(_INSPECTED)} FROM inspections WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _INSPECTED),
 )
 def flt_dropna(t):
-    return t.inspections.select(*_INSPECTED).na.drop("any")
+    return t.inspections.na.drop("any")
 
 
 @query("flt_between", f"SELECT BIN, EXPIRES_ON, ordinal FROM fitness WHERE year({date('EXPIRES_ON')}) BETWEEN 1996 AND 1998")
@@ -261,9 +272,12 @@ def fn_case_default(t):
     )
 
 
-@query("fn_recode_all", f"SELECT ordinal, {recoded('BOROUGH')} AS BOROUGH, {recoded('COF_TYPE')} AS COF_TYPE FROM fitness")
+_TEXTS = ("BOROUGH", "PREM_ADDR", "COF_TYPE", "EXPIRES_ON")
+
+
+@query("fn_recode_all", f"SELECT BIN, POSTCODE, ordinal, {', '.join(f'{recoded(c)} AS {c}' for c in _TEXTS)} FROM fitness")
 def fn_recode_all(t):
-    return logic.recode_boroughs(t.fitness.select("ordinal", "BOROUGH", "COF_TYPE"))
+    return logic.recode_boroughs(t.fitness)
 
 
 @query("fn_pad_box", f"SELECT STARFIRE_INCIDENT_ID, {PADDED_BOX} AS box FROM incidents")

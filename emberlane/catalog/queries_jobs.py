@@ -47,9 +47,7 @@ def job_top_alarm_boxes(t):
     return top_alarm_boxes(focus_incidents(t.incidents, focus, features))
 
 
-@query(
-    "job_bin_features",
-    f"""WITH h AS (SELECT BIN, {', '.join(f"count(*) FILTER (WHERE ALPHA = 'H{i}') AS hazard_H{i}" for i in range(4))},
+_BIN_FEATURES = f"""WITH h AS (SELECT BIN, {', '.join(f"count(*) FILTER (WHERE ALPHA = 'H{i}') AS hazard_H{i}" for i in range(4))},
       count(*) FILTER (WHERE ALPHA IS NULL) AS hazard_NA, count(*) FILTER (WHERE LAST_INSP_STAT = 'APPROVAL') AS approved_TRUE,
       count(*) FILTER (WHERE LAST_INSP_STAT <> 'APPROVAL') AS approved_FALSE FROM inspections WHERE BIN <> 0 GROUP BY BIN),
     s AS (SELECT BIN, {split_sum('NUM_SIAM_SPRINKLER')} AS NUM_SIAM_SPRINKLER, SPRINKLER_TYPE,
@@ -61,12 +59,25 @@ def job_top_alarm_boxes(t):
       approved_TRUE / nullif(approved_TRUE + approved_FALSE, 0) AS proportion_approved,
       coalesce(k, 0) AS num_recent_fire_fitness_certs, coalesce(o.NUM_OF_VIOLATION_NOTICES, 0) AS NUM_OF_VIOLATION_NOTICES,
       coalesce(o.NUM_OF_VIOLATION_ORDER, 0) AS NUM_OF_VIOLATION_ORDER
-    FROM h LEFT JOIN s ON h.BIN = s.BIN LEFT JOIN c ON h.BIN = c.BIN LEFT JOIN summary o ON h.BIN = o.BIN""",
+    FROM h LEFT JOIN s ON h.BIN = s.BIN LEFT JOIN c ON h.BIN = c.BIN LEFT JOIN summary o ON h.BIN = o.BIN"""
+# The summary joined once: its sprinklers and its violations come from the same row.
+_ONCE = (
+    _BIN_FEATURES.replace("STANDPIPE_TYPE FROM summary", "STANDPIPE_TYPE, NUM_OF_VIOLATION_NOTICES, NUM_OF_VIOLATION_ORDER FROM summary")
+    .replace(" LEFT JOIN summary o ON h.BIN = o.BIN", "")
+    .replace("o.NUM", "s.NUM")
 )
+
+
+@query("job_bin_features", _ONCE)
 def job_bin_features(t):
     return bin_features(t.inspections, t.fitness, t.summary, 1996, 1998)
 
 
+@query("job_bin_features_literal", _BIN_FEATURES)
+def job_bin_features_literal(t):
+    return bin_features(t.inspections, t.fitness, t.summary, 1996, 1998, pair_summaries=True)
+
+
 @query(
     "job_enrich_incidents",
     f"""WITH b AS (SELECT TRY_CAST(substring(BOROBOX, 2) AS INTEGER) AS k, BOROUGH FROM boxes
@@ -81,7 +92,7 @@ def job_bin_features(t):
         WHEN INCIDENT_CLASSIFICATION IS NOT NULL THEN '0' END AS INCIDENT_CLASSIFICATION,
       INCIDENT_CLASSIFICATION_GROUP, box AS ALARM_BOX_NUMBER, ZIPCODE, b.BOROUGH,
       CAST(e AS VARCHAR) AS EXPIRES_ON, f.PREM_ADDR, i.LAST_VISIT_DT, CAST({date('i.LAST_FULL_INSP_DT')} AS VARCHAR) AS LAST_FULL_INSP_DT,
-      i.LAST_INSP_STAT, v.VIO_LAW_NUM, v.VIO_DATE, v.ACTION,
+      i.LAST_INSP_STAT, v.VIO_LAW_NUM, v.VIO_LAW_DESC, v.VIO_DATE, v.ACTION,
       CAST(date_diff('day', {date('i.LAST_FULL_INSP_DT')}, dt) AS INT) AS days_after_last_inspection
     FROM d LEFT JOIN b ON box IS NOT DISTINCT FROM k LEFT JOIN f ON ZIPCODE IS NOT DISTINCT FROM f.POSTCODE
     LEFT JOIN i ON ZIPCODE IS NOT DISTINCT FROM i.POSTCODE LEFT JOIN v ON ZIPCODE IS NOT DISTINCT FROM v.POSTCODE""",
@@ -107,12 +118,20 @@ def src_fitness_cleaned(t):
 
 @query(
     "job_partition_by_year",
-    f"""SELECT STARFIRE_INCIDENT_ID, INCIDENT_DATETIME, ZIPCODE, CAST(year({moment('INCIDENT_DATETIME')}) AS INT) AS year FROM incidents
+    f"""SELECT *, CAST(year({moment('INCIDENT_DATETIME')}) AS INT) AS year FROM incidents
     WHERE year({moment('INCIDENT_DATETIME')}) = 2024""",
 )
 def job_partition_by_year(t):
-    kept = t.incidents.select("STARFIRE_INCIDENT_ID", "INCIDENT_DATETIME", "ZIPCODE")
-    return one_year(kept, scratch_path(t.spark, "incidents-by-year"), 2024)
+    return one_year(t.incidents, scratch_path(t.spark, "incidents-by-year"), 2024)
+
+
+_ONE_YEAR = f"(SELECT * FROM incidents WHERE year({moment('INCIDENT_DATETIME')}) = 2024)"
+
+
+@query("job_zip_features_one_year", f"WITH one_year AS {_ONE_YEAR}, {ZIP_FEATURES.replace('FROM incidents', 'FROM one_year')} SELECT * FROM zf")
+def job_zip_features_one_year(t):
+    dispatch = one_year(t.incidents, scratch_path(t.spark, "incidents-by-year"), 2024)
+    return zip_features(dispatch, t.inspections, t.fitness, t.violations)
 
 
 @query(
@@ -124,6 +143,6 @@ def job_partition_by_year(t):
     FROM inspections WHERE BIN <> 0""",
 )
 def job_catalogues(t):
-    boxes = box_catalogue(t.incidents).withColumn("kind", F.lit("box"))
+    boxes = box_catalogue(t.incidents, ordered=False).withColumn("kind", F.lit("box"))
     addresses = address_catalogue(t.inspections).withColumn("kind", F.lit("address"))
     return boxes.unionByName(addresses, allowMissingColumns=True)

@@ -106,6 +106,58 @@ def ml_knn(t):
     return predicted.where(F.col("prediction").isNotNull()).select("ZIPCODE", "prediction")
 
 
+@query(
+    "ml_knn_many",
+    """WITH h AS (SELECT BIN, CAST(count(*) FILTER (WHERE ALPHA = 'H0') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE ALPHA = 'H1') AS DOUBLE) AS b,
+      max(LATITUDE) AS c, max(LONGITUDE) AS d, CASE WHEN count(*) FILTER (WHERE LAST_INSP_STAT = 'APPROVAL') > 7 THEN 1 ELSE 0 END AS label
+      FROM inspections GROUP BY BIN),
+    near AS (SELECT q.BIN, t.label, row_number() OVER (PARTITION BY q.BIN ORDER BY
+        (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c) + (q.d - t.d) * (q.d - t.d), t.BIN) AS r
+      FROM h q, h t WHERE q.BIN % 4 = 1 AND t.BIN % 2 = 0),
+    votes AS (SELECT BIN, label, count(*) AS n FROM near WHERE r <= 5 GROUP BY BIN, label)
+    SELECT BIN, label AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY BIN ORDER BY n DESC, label) = 1""",
+)
+def ml_knn_many(t):
+    """Many points: they go through the cells, as more than ``max_pivots``."""
+    count = lambda level: F.count_if(F.col("ALPHA") == level).cast("double")
+    buildings = t.inspections.groupBy("BIN").agg(
+        count("H0").alias("a"),
+        count("H1").alias("b"),
+        F.max("LATITUDE").alias("c"),
+        F.max("LONGITUDE").alias("d"),
+        (F.count_if(F.col("LAST_INSP_STAT") == "APPROVAL") > 7).cast("int").alias("label"),
+    )
+    buildings = materialise(buildings, "buildings")
+    model = fit_knn(buildings.where("BIN % 2 = 0"), "BIN", "label", ["a", "b", "c", "d"], k=5, max_pivots=64)
+    return model.predict(buildings.where("BIN % 4 = 1")).select("BIN", "prediction")
+
+
+_FACTOR_SQL = f"""WITH c AS (SELECT INCIDENT_BOROUGH AS g, count(*) FILTER (WHERE f = 1) * 3.0 AS n1, count(*) FILTER (WHERE f = 0) AS n0
+    FROM (SELECT INCIDENT_BOROUGH, {FALSE_ALARM_OR_ZERO} AS f FROM incidents) GROUP BY 1), r AS (SELECT * FROM c ORDER BY g LIMIT 1)
+    SELECT CASE WHEN c.g = r.g THEN '(Intercept)' ELSE concat('INCIDENT_BOROUGH_', c.g) END AS term,
+    round(CASE WHEN c.g = r.g THEN ln(c.n1 / c.n0) ELSE ln(c.n1 / c.n0) - ln(r.n1 / r.n0) END, 4) AS estimate FROM c, r"""
+
+
+@query("ml_logit_one_factor", _FACTOR_SQL)
+def ml_logit_one_factor(t):
+    """The weighted fit with one factor, whose estimates have a closed form."""
+    flagged = t.incidents.select("INCIDENT_BOROUGH", false_alarm_or_zero(F.col("INCIDENT_CLASSIFICATION")).alias("f"))
+    weight = F.when(F.col("f") == 1, 3.0).otherwise(1.0)
+    found = fit_logistic(flagged, "f", [], ["INCIDENT_BOROUGH"], weight).coefficients(t.spark)
+    return found.select("term", (F.round("estimate", 4) + F.lit(0.0)).alias("estimate"))
+
+
+_COMPLETE = " AND ".join(f"{f} IS NOT NULL" for f in FEATURE_NAMES)
+
+
+@query("ml_score_all_rows", f"WITH {ZIP_FEATURES} SELECT ZIPCODE, ({_COMPLETE}) AS scored FROM zf")
+def ml_score_all_rows(t):
+    """Every zip comes back from the model; those with a NULL feature without a score."""
+    features = features_of(t)
+    scored = fit_logistic(features.where("ZIPCODE % 2 = 0"), LABEL, FEATURES).score(features)
+    return scored.select("ZIPCODE", (F.col("link").isNotNull() & F.col("probability").between(0, 1)).alias("scored"))
+
+
 def _kernel_bayes_sql() -> str:
     """The estimator step by step: bandwidths, binned weights, smoothing, two interpolations, posterior."""
     long = lambda source: " UNION ALL ".join(
@@ -157,6 +209,12 @@ def ml_random_forest(t):
     return fit_forest(train, LABEL, FEATURES).score(validate).select("ZIPCODE", "probability")
 
 
+@query("ml_forest_rows", f"WITH {_PARTS_SQL} SELECT ZIPCODE, ({_COMPLETE}) AS scored FROM validate")
+def ml_forest_rows(t):
+    """The rows of ``ml_random_forest``: every zip of the part, with a probability unless a feature is missing."""
+    return ml_random_forest(t).select("ZIPCODE", (F.coalesce(F.col("probability").between(0, 1), F.lit(False))).alias("scored"))
+
+
 @query("ml_random_forest_balanced")
 def ml_random_forest_balanced(t):
     divided = split_exact(_labelled_incidents(t), "STARFIRE_INCIDENT_ID")
@@ -243,6 +301,29 @@ def eval_calibration(t):
     return evaluation.calibration(_scored(t), "truth", "score", 0)
 
 
+@query(
+    "eval_calibration_hard",
+    f"""WITH {SCORED}, b AS (SELECT greatest(1, CAST(ceil(truth * 10) AS INT)) AS bin, count(*) AS n,
+    count(*) FILTER (WHERE prediction = 1) AS events FROM scored GROUP BY 1)
+    SELECT CAST(i AS INT) AS bin, (i - 0.5::DOUBLE) / 10 AS midpoint, coalesce(n, 0) AS n, coalesce(events, 0) AS events, events / n AS share
+    FROM range(1, 11) r(i) LEFT JOIN b ON b.bin = i""",
+)
+def eval_calibration_hard(t):
+    """Hard labels with the roles swapped: the prediction's share over the true label."""
+    return evaluation.calibration(_scored(t), "prediction", "truth", 1)
+
+
+@query(
+    "eval_model_rows",
+    f"""WITH {_PARTS_SQL} SELECT m AS model, count(*) FILTER (WHERE m = 'kernel_bayes' OR ({_COMPLETE})) AS n
+    FROM validate, (VALUES ('logistic'), ('knn'), ('kernel_bayes'), ('forest')) models(m)
+    WHERE false_alarms_above_below_median IS NOT NULL GROUP BY m""",
+)
+def eval_model_rows(t):
+    """How many rows each line of the model table counts."""
+    return eval_model_table(t).select("model", F.expr("tn + fp + fn + tp").alias("n"))
+
+
 @query("eval_model_table")
 def eval_model_table(t):
     return zips_in_focus.compare_zip_models(features_of(t))

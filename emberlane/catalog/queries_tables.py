@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlane.catalog.registry import query
 from emberlane.catalog.snippets import FALSE_ALARM, date, day, split_sum as split_sum_sql
+from emberlane.catalog.views import VIEWS
 from emberlane.functions import dates, logic, text
 from emberlane.functions.constants import APPROVED_STATUS, VIOLATION_STATUSES
 from emberlane.operators import aggregates, columns, joins, ranking
@@ -66,17 +67,17 @@ def join_broadcast_dim(t):
 @query(
     "join_natural_chain",
     f"""WITH s AS (SELECT BIN, {split_sum_sql('NUM_SIAM_SPRINKLER')} AS NUM_SIAM_SPRINKLER, SPRINKLER_TYPE,
-      {split_sum_sql('NUM_SIAM_STANDPIPE')} AS NUM_SIAM_STANDPIPE, STANDPIPE_TYPE FROM summary),
+      {split_sum_sql('NUM_SIAM_STANDPIPE')} AS NUM_SIAM_STANDPIPE, STANDPIPE_TYPE FROM summary WHERE BIN <> 0),
     c AS (SELECT BIN, count(*) AS num_recent_fire_fitness_certs FROM fitness WHERE contains(COF_TYPE, 'FIRE')
       AND PREM_ADDR IS NOT NULL AND year({date('EXPIRES_ON')}) BETWEEN 1996 AND 1998 GROUP BY BIN)
     SELECT s.*, num_recent_fire_fitness_certs, NUM_OF_VIOLATION_NOTICES, NUM_OF_VIOLATION_ORDER FROM s
-    LEFT JOIN c ON s.BIN IS NOT DISTINCT FROM c.BIN LEFT JOIN summary o ON s.BIN IS NOT DISTINCT FROM o.BIN""",
+    LEFT JOIN c ON s.BIN = c.BIN LEFT JOIN summary o ON s.BIN = o.BIN""",
 )
 def join_natural_chain(t):
-    chain = joins.natural_left_join(
-        bin_features.sprinklers(t.summary), bin_features.recent_fire_certificates(t.fitness, 1996, 1998)
-    )
-    return joins.natural_left_join(chain, bin_features.open_violations(t.summary))
+    # Buildings without a number are nobody's neighbours: left in, they would all match each other.
+    numbered = bin_features.sprinklers(t.summary.where("BIN <> 0"))
+    chain = joins.natural_left_join(numbered, bin_features.recent_fire_certificates(t.fitness, 1996, 1998), null_safe=False)
+    return joins.natural_left_join(chain, bin_features.open_violations(t.summary), null_safe=False)
 
 
 @query(
@@ -231,7 +232,7 @@ def agg_col_means(t):
     return aggregates.column_means(agg_pivot_fill(t))
 
 
-_PROFILED = ["BIN", "POSTCODE", "BOROUGH", "ALPHA", "LAST_INSP_STAT", "LAST_FULL_INSP_DT"]
+_PROFILED = list(VIEWS["inspections"][0][2])
 
 
 @query(
@@ -239,7 +240,7 @@ _PROFILED = ["BIN", "POSTCODE", "BOROUGH", "ALPHA", "LAST_INSP_STAT", "LAST_FULL
     "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in _PROFILED) + " FROM inspections",
 )
 def agg_null_profile(t):
-    return aggregates.null_profile(t.inspections.select(*_PROFILED))
+    return aggregates.null_profile(t.inspections)
 
 
 @query(

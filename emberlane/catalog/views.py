@@ -66,9 +66,9 @@ VIEWS: dict[str, list[tuple[str, str | None, dict[str, str]]]] = {
                 "ELSE NULL END",
                 "LAST_VISIT_DT": "{D:l_shipdate}",
                 "LAST_FULL_INSP_DT": "CASE WHEN l_partkey % 150 = 17 AND l_linenumber = 1 THEN NULL ELSE {D:l_shipdate} END",
-                # Text, because packing the four keys into one integer would overflow on large tables.
-                "ordinal": "concat(lpad({S:l_orderkey}, 14, '0'), lpad({S:l_linenumber}, 2, '0'), "
-                "lpad({S:l_partkey}, 14, '0'), lpad({S:l_suppkey}, 14, '0'))",
+                # A decimal: of fixed width, and wide enough for the four keys one after the other.
+                "ordinal": "CAST(concat(lpad({S:l_orderkey}, 12, '0'), lpad({S:l_linenumber}, 2, '0'), "
+                "lpad({S:l_partkey}, 12, '0'), lpad({S:l_suppkey}, 12, '0')) AS DECIMAL(38, 0))",
             },
         )
     ],
@@ -98,6 +98,7 @@ VIEWS: dict[str, list[tuple[str, str | None, dict[str, str]]]] = {
                 "BOROUGH": _BOROUGH_CODE.replace("{key}", "o_custkey"),
                 "PREM_ADDR": _ADDRESS,
                 "VIO_LAW_NUM": "concat('LAW ', {S:o_orderkey % 13})",
+                "VIO_LAW_DESC": "CASE WHEN o_orderkey % 13 = 6 THEN NULL ELSE concat('ABOUT ', {S:o_orderkey % 13}) END",
                 "ACTION": "o_orderpriority",
                 "VIO_DATE": "{D:o_orderdate}",
                 "ordinal": "o_orderkey",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlane.session import materialise
 
 AUC_BUCKETS = 256
+RANGE_SCORES = 200_000
 
 
 def confusion(df: DataFrame, prediction: str, truth: str) -> DataFrame:
@@ -32,9 +33,11 @@ def metrics(df: DataFrame, prediction: str, truth: str) -> DataFrame:
     )
 
 
-def auc(df: DataFrame, score: str, truth: str, buckets: int = AUC_BUCKETS) -> DataFrame:
+def auc(df: DataFrame, score: str, truth: str, buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; NULL if a class is missing.
 
+    There are at least 256 ranges, and more where one would hold over RANGE_SCORES distinct scores.
+
     Rows are first counted per distinct score. Distinct scores are cut into ranges
     of about equal size; pairs within a range come from a window over that range,
     pairs across ranges from the range totals. No task sees all scores, and the scored
@@ -46,6 +49,7 @@ def auc(df: DataFrame, score: str, truth: str, buckets: int = AUC_BUCKETS) -> Da
         .agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")),
         "auc-scores",
     )
+    buckets = buckets or max(AUC_BUCKETS, per_score.count() // RANGE_SCORES)
     cuts = per_score.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10 * buckets)).scalar()
     ranged = per_score.withColumn("_cuts", F.array_distinct(cuts)).withColumn(
         "bucket", F.size(F.filter("_cuts", lambda cut: cut <= F.col("s")))
@@ -56,7 +60,7 @@ def auc(df: DataFrame, score: str, truth: str, buckets: int = AUC_BUCKETS) -> Da
         .groupBy("bucket")
         .agg(F.sum("inner").alias("inner"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    # One row per range, ``buckets`` at most.
+    # One row per range, ``buckets`` at most: far fewer than scores.
     before = F.sum("neg").over(Window.orderBy("bucket")) - F.col("neg")
     won = per_range.withColumn("won", F.col("inner") + F.col("pos").cast("double") * before)
     return won.agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
@@ -65,10 +69,14 @@ def auc(df: DataFrame, score: str, truth: str, buckets: int = AUC_BUCKETS) -> Da
 def calibration(df: DataFrame, klass: str, score: str, event, bins: int = 10) -> DataFrame:
     """Observed share of ``event`` per score bin: ``bins`` equal bins of [0, 1], closed on the right.
 
-    Every bin is listed; the share of an empty one is NULL.
+    Every bin is listed; the share of an empty one is NULL. A score outside [0, 1] is an error.
+    Rows with a NULL class or score do not count.
     """
+    value = F.col(score).cast("double")
+    outside = F.raise_error(F.lit(f"{score} lies outside [0, 1]")).cast("double")
+    value = F.when(value.between(0, 1), value).otherwise(outside)
     binned = df.where(F.col(klass).isNotNull() & F.col(score).isNotNull()).select(
-        F.greatest(F.lit(1), F.ceil(F.col(score).cast("double") * bins).cast("int")).alias("bin"),
+        F.greatest(F.lit(1), F.ceil(value * bins).cast("int")).alias("bin"),
         (F.col(klass) == F.lit(event)).alias("_hit"),
     )
     counted = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("_hit").alias("events"))

@@ -13,17 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.functions.constants import SEED, TREES
+from emberlane.models.logistic import factor_levels, score_all_rows
 
 
 @dataclass
 class ForestModel:
     pipeline: PipelineModel
     columns: list[str]
+    levels: dict[str, list[str]]
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Add ``probability`` of outcome 1; rows with a NULL feature are left out."""
-        scored = self.pipeline.transform(df.na.drop("any", subset=self.columns))
-        return scored.select(*df.columns, vector_to_array("_probability")[1].alias("probability"))
+        """All rows with ``probability`` of outcome 1. A NULL (or NaN) feature, or a level the training rows lack, gives NULL."""
+        return score_all_rows(df, self.pipeline.transform, self.columns, self.levels, [vector_to_array("_probability")[1]])
 
 
 def fit_forest(
@@ -34,17 +35,21 @@ def fit_forest(
     class_weights: tuple[float, float] | None = None,
     balanced: bool = False,
     trees: int = TREES,
-    max_depth: int = 10,
+    max_depth: int = 30,
     seed: int = SEED,
 ) -> ForestModel:
     """Fit a forest for a 0/1 outcome on the training rows without NULLs.
 
     ``balanced`` weighs rows so that both classes have the same total weight, times
     ``class_weights``. It approximates drawing each tree's sample half from either
-    class: Spark draws every tree from all rows.
+    class: Spark draws every tree from all rows. ``max_depth`` is Spark's own limit of 30 unless
+    given; a node is split while it has 10 rows for either side. Factors may have any number
+    of levels, each of which can be told apart.
     """
     columns = [*numeric, *categorical]
     used = train.select(F.col(outcome).cast("double").alias(outcome), *columns).na.drop("any")
+    used = used.withColumns({c: F.col(c).cast("double") for c in numeric} | {c: F.col(c).cast("string") for c in categorical})
+    levels = factor_levels(used, categorical)
     weights = class_weights or (1.0, 1.0)
     if balanced:
         counts = used.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(outcome) == 1).alias("n1")).first()
@@ -53,10 +58,10 @@ def fit_forest(
     used = used.withColumn("_weight", F.when(F.col(outcome) == 1, F.lit(float(weights[1]))).otherwise(F.lit(float(weights[0]))))
     indexed = [f"_{c}" for c in categorical]
     stages = [
-        StringIndexer(inputCols=list(categorical), outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="skip")
+        StringIndexer(inputCols=list(categorical), outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="error")
     ] if categorical else []
     stages += [
-        VectorAssembler(inputCols=[*numeric, *indexed], outputCol="_features", handleInvalid="skip"),
+        VectorAssembler(inputCols=[*numeric, *indexed], outputCol="_features", handleInvalid="error"),
         RandomForestClassifier(
             featuresCol="_features",
             labelCol=outcome,
@@ -67,9 +72,10 @@ def fit_forest(
             numTrees=trees,
             featureSubsetStrategy="sqrt",
             maxDepth=max_depth,
+            maxBins=max([32, *(len(found) for found in levels.values())]),
             minInstancesPerNode=10,
             maxMemoryInMB=512,
             seed=seed,
         ),
     ]
-    return ForestModel(Pipeline(stages=stages).fit(used), columns)
+    return ForestModel(Pipeline(stages=stages).fit(used), columns, levels)

@@ -132,7 +132,7 @@ class KnnModel:
         """``queries`` with the majority label of the k nearest training points.
 
         Equal distances are ordered by training id, equal votes by label. Rows with
-        a NULL feature get no prediction. Equal queries are answered once.
+        a NULL or NaN feature get no prediction. Equal queries are answered once.
         """
         if self.points is None:
             return self._predict_inline(queries, name)
@@ -146,7 +146,7 @@ class KnnModel:
     def _predict_inline(self, queries: DataFrame, name: str) -> DataFrame:
         known = F.lit(True)
         for f in self.features:
-            known = known & F.col(f).isNotNull()
+            known = known & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
         points = F.transform(
             "_pivots",
             lambda p: F.struct(
@@ -228,7 +228,12 @@ def fit_knn(
     scale: bool = False,
     max_pivots: int = MAX_PIVOTS,
 ) -> KnnModel:
-    """Index the training rows without NULLs. ``scale`` standardises the features first."""
+    """Index the training rows without NULLs or NaNs. ``scale`` standardises the features first.
+
+    Up to ``max_pivots`` points travel with every task as one array, beyond that they are put into
+    cells; both ways are exact and give the same answers. ``max_pivots`` also bounds the cells, whose number
+    grows with the square root of the points: give more where a cell would hold too many points.
+    """
     features = list(features)
     scales = {}
     if scale:

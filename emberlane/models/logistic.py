@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,11 +20,15 @@ class LogisticModel:
     pipeline: PipelineModel
     columns: list[str]
     schema: T.StructType
+    levels: dict[str, list[str]]
+    #: Factors with one level in the training rows, which have no term.
+    constant: list[str]
+    #: Whether the iterations ended by themselves and not at ``max_iter``.
+    converged: bool
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Rows with a NULL in a model column have no score and are left out."""
-        scored = self.pipeline.transform(df.na.drop("any", subset=self.columns))
-        return scored.select(*df.columns, "probability", "link")
+        """All rows. A NULL (or NaN) in a model column, or a level the training rows lack, gives a NULL score."""
+        return score_all_rows(df, self.pipeline.transform, self.columns, self.levels, ["probability", "link"])
 
     def coefficients(self, spark) -> DataFrame:
         """One row per term: estimate and odds ratio. As many rows as the model has terms."""
@@ -37,12 +41,36 @@ class LogisticModel:
         return table.withColumn("odds", F.exp("estimate"))
 
 
-def _varying(df: DataFrame, categorical: Sequence[str]) -> list[str]:
-    """The factors with at least two levels; a constant one has no coefficient."""
+def factor_levels(df: DataFrame, categorical: Sequence[str]) -> dict[str, list[str]]:
+    """The levels of each factor, as many as the model has terms for it."""
     if not categorical:
-        return []
-    spread = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in categorical]).first()
-    return [c for c in categorical if spread[c]]
+        return {}
+    found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in categorical]).first()
+    return {c: list(found[c]) for c in categorical}
+
+
+def score_all_rows(
+    df: DataFrame, transform: Callable[[DataFrame], DataFrame], columns: Sequence[str], levels: dict[str, list[str]], added: Sequence[str | Column]
+) -> DataFrame:
+    """``df`` with the columns ``added`` by ``transform``, NULL where a row cannot be scored.
+
+    Such rows go through the model with values it knows, in place of their own, and their scores are
+    then taken away: one pass, and no row is lost.
+    """
+    known = F.lit(True)
+    for c in columns:
+        good = F.col(c).cast("string").isin(levels[c]) if c in levels else ~F.isnan(F.col(c).cast("double"))
+        known = known & F.col(c).isNotNull() & good
+    known = F.coalesce(known, F.lit(False))
+    stand_in = lambda c: F.lit(levels[c][0] if levels[c] else "") if c in levels else F.lit(0.0)
+    own = lambda c: F.col(c).cast("string" if c in levels else "double")
+    filled = df.select(
+        F.struct(*df.columns).alias("_row"), known.alias("_known"), *[F.when(known, own(c)).otherwise(stand_in(c)).alias(c) for c in columns]
+    )
+    made = [F.col(c) if isinstance(c, str) else c for c in added]
+    scored = transform(filled).withColumns({f"_made{i}": m for i, m in enumerate(made)})
+    names = [c if isinstance(c, str) else "probability" for c in added]
+    return scored.select("_row.*", *[F.when(F.col("_known"), F.col(f"_made{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def fit_logistic(
@@ -58,7 +86,9 @@ def fit_logistic(
     Rows with equal features and outcome are first merged into one whose weight is
     their sum. The likelihood and so the estimates stay the same, and with factor
     features every iteration reads the distinct combinations, not the rows. The
-    alphabetically first level of a factor is the reference.
+    alphabetically first level of a factor is the reference. A factor with one level has no
+    term; the model names it in ``constant``, and says in ``converged`` whether ``max_iter`` cut the
+    iterations short.
     """
     used = train.select(
         F.col(outcome).cast("double").alias(outcome),
@@ -66,15 +96,20 @@ def fit_logistic(
         *[F.col(c).cast("string").alias(c) for c in categorical],
         (F.lit(1.0) if weight is None else weight.cast("double")).alias("_weight"),
     ).na.drop("any")
-    factors = _varying(used, categorical)
+    levels = factor_levels(used, categorical)
+    factors = [c for c in categorical if len(levels[c]) > 1]
     terms = [*factors, *numeric]
     merged = used.groupBy(outcome, *terms).agg(F.sum("_weight").alias("_weight")).persist()
+    # The iterations start from means that large weights push to 0 and 1, where they can run off. The
+    # estimates depend on the weights' proportions only.
+    heaviest = merged.agg(F.max("_weight")).first()[0] or 1.0
+    merged_scaled = merged.withColumn("_weight", F.col("_weight") / F.lit(float(heaviest)))
     formula = RFormula(
         formula=f"{outcome} ~ {' + '.join(terms)}",
         featuresCol="features",
         labelCol="_label",
         stringIndexerOrderType="alphabetDesc",
-        handleInvalid="skip",
+        handleInvalid="error",
     )
     regression = GeneralizedLinearRegression(
         family="binomial",
@@ -86,6 +121,10 @@ def fit_logistic(
         linkPredictionCol="link",
         maxIter=max_iter,
     )
-    model = Pipeline(stages=[formula, regression]).fit(merged)
-    merged.unpersist()
-    return LogisticModel(model, terms, merged.schema)
+    try:
+        model = Pipeline(stages=[formula, regression]).fit(merged_scaled)
+    finally:
+        merged.unpersist()
+    converged = model.stages[-1].summary.numIterations < max_iter
+    constant = [c for c in categorical if c not in factors]
+    return LogisticModel(model, terms, merged.schema, {c: levels[c] for c in factors}, constant, converged)

@@ -14,7 +14,8 @@ FRACTIONS = (0.50, 0.25)
 
 
 def split_hash(key: str, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return F.coalesce(hashed, F.raise_error(F.lit(f"{key} holds NULL, rows cannot be told apart by it")).cast("string"))
 
 
 def split_exact(
@@ -32,7 +33,7 @@ def split_exact(
     hashes are found by counting hash prefixes and ordering only the rows that
     share the prefix in question. The rows themselves are never sorted or shuffled:
     they are compared with the two hashes, which are found right away, so ``df``
-    should be a table and not a long computation.
+    should be a table and not a long computation. A NULL key is an error.
     """
     hashed = df.select(split_hash(key, seed).alias("_h")).withColumn("_prefix", F.substring("_h", 1, 4))
     if sizes is None:

@@ -71,11 +71,11 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_values(df: DataFrame, column: str) -> list:
-    """The sorted distinct values of a category column, NULL last."""
-    rows = df.select(column).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
-    if len(rows) > MAX_PIVOT_VALUES:
-        raise ValueError(f"{column} has more than {MAX_PIVOT_VALUES} values")
+def distinct_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -> list:
+    """The sorted distinct values of a category column, NULL last; more than ``limit`` are an error."""
+    rows = df.select(column).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{column} has more than {limit} values")
     values = [r[0] for r in rows]
     return sorted(v for v in values if v is not None) + ([None] if None in values else [])
 
@@ -92,9 +92,11 @@ def pivot_counts(column: str, values: Sequence, prefix: str, where: Column | Non
     ]
 
 
-def pivot_count(df: DataFrame, keys: Sequence[str], column: str, prefix: str, values: Sequence | None = None) -> DataFrame:
-    """Row counts per key, spread to one column per value. Without ``values`` they are looked up first."""
-    values = distinct_values(df, column) if values is None else values
+def pivot_count(
+    df: DataFrame, keys: Sequence[str], column: str, prefix: str, values: Sequence | None = None, limit: int = MAX_PIVOT_VALUES
+) -> DataFrame:
+    """Row counts per key, spread to one column per value. Without ``values`` they are looked up first, ``limit`` at most."""
+    values = distinct_values(df, column, limit) if values is None else values
     return df.groupBy(*keys).agg(*pivot_counts(column, values, prefix))
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.session import materialise
+
 # lookup_join: at most this many keys count as hot, those with more than this share of the
-# rows, and each is spread over this many lanes.
+# rows, and each is spread over at least this many lanes.
 HOT_KEYS = 64
 HOT_SHARE = 1 / 1000
 LANES = 64
@@ -45,13 +47,19 @@ def natural_left_join(left: DataFrame, right: DataFrame, null_safe: bool = True)
 def keep_first(df: DataFrame, keys: str | Sequence[str], ordinal: str) -> DataFrame:
     """One row per key, the one with the smallest ordinal, NULL values included.
 
-    An aggregate and not a window: each task reduces its rows to one per key
-    before the shuffle, so a hot key costs no more than any other.
+    NULL ordinals come last: such a row is taken only if its key has no other. The
+    smallest ordinals are a hash aggregate, which each task reduces to one row per key
+    before the shuffle; the rows themselves are then fetched by key and ordinal. An
+    ordinal of fixed width (a number or a time) keeps sorts out of this. Of rows with
+    equal key and ordinal the first by their values is taken.
     """
     keys = _names(keys)
     rest = [c for c in df.columns if c not in keys and c != ordinal]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordinal).alias("_first"))
-    return first.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
+    smallest = materialise(df.groupBy(*keys).agg(F.min(ordinal).alias("_first")), "first-ordinals")
+    tagged = smallest.withColumnsRenamed({k: "_r_" + k for k in keys})
+    fetched = df.join(tagged, _null_safe(keys, "_r_") & F.col(ordinal).eqNullSafe(F.col("_first")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*rest) if rest else Window.partitionBy(*keys).orderBy(ordinal))
+    return fetched.withColumn("_place", place).where("_place = 1").select(*keys, *rest)
 
 
 def hot_keys(fact: DataFrame, *key_sets: str | Sequence[str]) -> list[list[int]]:
@@ -66,28 +74,37 @@ def hot_keys(fact: DataFrame, *key_sets: str | Sequence[str]) -> list[list[int]]
     return [[top["item"] for top in row[f"_h{i}"] or [] if top["count"] > row["_n"] * HOT_SHARE] for i in range(len(key_sets))]
 
 
+def _broadcasts(table: DataFrame) -> bool:
+    """Whether Spark will broadcast a written table for its size."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def lookup_join(
     fact: DataFrame, lookup: DataFrame, keys: str | Sequence[str], hot: Sequence[int] | None = None
 ) -> DataFrame:
     """Null-safe left join of a large table to a lookup with at most one row per key.
 
-    Rows of ``fact`` with a hot key are spread over lanes, and the few lookup rows
-    of hot keys are repeated once per lane, so no task gets all rows of one key.
-    ``hot`` comes from ``hot_keys`` when the caller has it already; it decides where
-    rows are joined, never what they are joined to. Spark broadcasts the lookup if
-    its measured size allows it.
+    The lookup is written once, so its size is known. If Spark will broadcast it, nothing else
+    is needed. Otherwise hot keys are looked for in one pass over the fact's keys: their
+    rows are spread over lanes, and the few lookup rows of hot keys are repeated once per lane, so no task
+    gets all rows of one key. There are as many lanes as shuffle partitions, which grow with
+    the data. ``hot`` comes from ``hot_keys`` when the caller has it already; it decides where rows
+    are joined, never what they are joined to.
     """
     keys = _names(keys)
     values = [c for c in lookup.columns if c not in keys]
+    lookup = materialise(lookup, "lookup")
     if hot is None:
-        (hot,) = hot_keys(fact, keys)
+        hot = [] if _broadcasts(lookup) else hot_keys(fact, keys)[0]
     if not hot:
         return left_join_nullsafe(fact, lookup, keys).select(*fact.columns, *values)
+    lane_count = max(LANES, int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     is_hot = F.xxhash64(*keys).isin(list(hot))
     # The partition id keeps copies of one row apart; it is the same when a task is run again.
-    lane = F.pmod(F.xxhash64(F.spark_partition_id(), *fact.columns), F.lit(LANES)).cast("int")
+    lane = F.pmod(F.xxhash64(F.spark_partition_id(), *fact.columns), F.lit(lane_count)).cast("int")
     spread = fact.withColumn("_lane", F.when(is_hot, lane).otherwise(0))
-    lanes = F.when(is_hot, F.sequence(F.lit(0), F.lit(LANES - 1))).otherwise(F.array(F.lit(0)))
+    lanes = F.when(is_hot, F.sequence(F.lit(0), F.lit(lane_count - 1))).otherwise(F.array(F.lit(0)))
     repeated = lookup.withColumn("_r_lane", F.explode(lanes)).withColumnsRenamed({k: "_r_" + k for k in keys})
     same = _null_safe(keys, "_r_") & (F.col("_lane") == F.col("_r_lane"))
     return spread.join(repeated, same, "left").select(*fact.columns, *values)
@@ -105,7 +122,11 @@ def keep_first_join(
     return lookup_join(left, keep_first(right.select(*new), keys, ordinal), keys, hot)
 
 
-def focus_on(df: DataFrame, focus: DataFrame, key: str, hot: Sequence[int] | None = None) -> DataFrame:
-    """Keep the rows whose key is in ``focus``, spreading hot keys like ``lookup_join``."""
-    wanted = focus.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_wanted", F.lit(True))
-    return lookup_join(df.where(F.col(key).isNotNull()), wanted, key, hot).where("_wanted").drop("_wanted")
+def focus_on(df: DataFrame, focus: DataFrame, key: str) -> DataFrame:
+    """Keep the rows whose key is in ``focus``; a NULL key never is.
+
+    The distinct keys are written, so that Spark knows their size: it broadcasts them, or joins two plain
+    shuffles, of which adaptive execution splits a hot key.
+    """
+    wanted = materialise(focus.select(key).where(F.col(key).isNotNull()).distinct(), "focus-keys")
+    return df.join(wanted, key, "left_semi").select(*df.columns)

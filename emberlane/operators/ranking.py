@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlane.operators.joins import lookup_join
+from emberlane.session import materialise
 
 
-def top_n_with_ties(df: DataFrame, score: str, n: int = 10) -> DataFrame:
+def top_n_with_ties(df: DataFrame, score: str, n: int = 10, times: str | None = None) -> DataFrame:
     """Rows with a score among the ``n`` highest, all rows tied at the last place included.
 
+    ``times`` names a column that says how many rows each row stands for.
+
     The score at place n is found on distinct scores, then rows are filtered by
     it: nothing but scores is shuffled, and a tie of any size stays spread out.
     """
     highest = (
         df.where(F.col(score).isNotNull())
         .groupBy(score)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(times) if times else F.count(F.lit(1))).alias("_n"))
         .orderBy(F.col(score).desc())
         .limit(n)
     )
@@ -45,7 +48,8 @@ def exact_quantiles(
     keys = list(keys)
     slack = 10.0 / accuracy
     edges = [edge for p in probs for edge in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    # Written, as the join below would aggregate the rows a second time to find hot groups.
+    counted = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "counted-values")
     sketch = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_total"), F.percentile_approx(value, edges, accuracy).alias("_edges")
     )

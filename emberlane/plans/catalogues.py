@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from emberlane.operators.ranking import sorted_distinct
 
 
-def box_catalogue(dispatch: DataFrame) -> DataFrame:
-    """Distinct alarm boxes, in the order of their numbers."""
-    return sorted_distinct(dispatch, ["ALARM_BOX_NUMBER", "ALARM_BOX_BOROUGH", "ALARM_BOX_LOCATION"])
+def box_catalogue(dispatch: DataFrame, ordered: bool = True) -> DataFrame:
+    """Distinct alarm boxes, in the order of their numbers unless something else follows that would undo it."""
+    columns = ["ALARM_BOX_NUMBER", "ALARM_BOX_BOROUGH", "ALARM_BOX_LOCATION"]
+    return sorted_distinct(dispatch, columns) if ordered else dispatch.select(*columns).distinct()
 
 
 def address_catalogue(inspections: DataFrame) -> DataFrame:

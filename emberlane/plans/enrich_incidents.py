@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +9,9 @@ from emberlane.functions.dates import days_between, parse_mdy, parse_mdy_hms, ye
 from emberlane.functions.logic import collapse_false_alarms, corrected_borough, recode_boroughs
 from emberlane.functions.text import box_key, drop_first_char, pad_box_keep
 from emberlane.operators.filters import drop_first_row
-from emberlane.operators.joins import hot_keys, keep_first_join, lookup_join
+from emberlane.operators.joins import keep_first_join
 
+# Incident columns that are left out.
 _NOT_KEPT = [
     "POLICEPRECINCT",
     "CITYCOUNCILDISTRICT",
@@ -33,33 +32,6 @@ def current_certificates(fitness: DataFrame, after_year: int, ordinal: str) -> D
     return cleaned.where(year_after(F.col("EXPIRES_ON"), after_year))
 
 
-def first_by_zip(sources: list[tuple[DataFrame, list[str]]], ordinal: str) -> DataFrame:
-    """The first row per POSTCODE of each source, side by side.
-
-    All sources are reduced in one aggregation over their union, which costs one
-    shuffle and lets the incidents be joined once instead of once per source.
-    """
-    tagged = [
-        table.select(
-            F.col("POSTCODE").cast("long").alias("ZIPCODE"),
-            *[
-                (F.struct(*columns) if i == j else F.lit(None)).alias(f"_row{j}")
-                for j, (_, columns) in enumerate(sources)
-            ],
-            *[
-                (F.col(ordinal) if i == j else F.lit(None).cast(other.schema[ordinal].dataType)).alias(f"_at{j}")
-                for j, (other, _) in enumerate(sources)
-            ],
-        )
-        for i, (table, columns) in enumerate(sources)
-    ]
-    merged = reduce(DataFrame.unionByName, tagged)
-    first = merged.groupBy("ZIPCODE").agg(*[F.min_by(f"_row{j}", f"_at{j}").alias(f"_row{j}") for j in range(len(sources))])
-    return first.select(
-        "ZIPCODE", *[F.col(f"_row{j}")[c].alias(c) for j, (_, columns) in enumerate(sources) for c in columns]
-    )
-
-
 def enrich_incidents(
     dispatch: DataFrame,
     boxes: DataFrame,
@@ -72,11 +44,12 @@ def enrich_incidents(
     """Each incident with its box's borough, its zip's first certificate, inspection and
     violation, days since that inspection, and the class as '1' / '0'.
 
-    "First" is by the ``ordinal`` column of each table.
+    "First" is by the ``ordinal`` column of each table. A table that lacks one of the columns named here
+    is an error.
     """
     located = boxes.select(
         box_key(drop_first_char(F.col("BOROBOX"))).alias("ALARM_BOX_NUMBER"),
-        *[c for c in ["BOROUGH"] if c in boxes.columns],
+        "BOROUGH",
         ordinal,
     )
     incidents = dispatch.withColumns(
@@ -86,15 +59,15 @@ def enrich_incidents(
             "INCIDENT_DATETIME": F.to_date(parse_mdy_hms(F.col("INCIDENT_DATETIME"))),
         }
     )
-    hot_boxes, hot_zips = hot_keys(incidents, "ALARM_BOX_NUMBER", "ZIPCODE")
-    with_box = keep_first_join(incidents, located, "ALARM_BOX_NUMBER", ordinal, hot_boxes)
+    enriched = keep_first_join(incidents, located, "ALARM_BOX_NUMBER", ordinal)
     wanted = [
         (current_certificates(fitness, after_year, ordinal), ["EXPIRES_ON", "PREM_ADDR"]),
         (recode_boroughs(inspections), ["LAST_VISIT_DT", "LAST_FULL_INSP_DT", "LAST_INSP_STAT"]),
         (recode_boroughs(violations), ["VIO_LAW_NUM", "VIO_LAW_DESC", "VIO_DATE", "ACTION"]),
     ]
-    by_zip = first_by_zip([(t, [c for c in columns if c in t.columns]) for t, columns in wanted], ordinal)
-    enriched = lookup_join(with_box, by_zip, "ZIPCODE", hot_zips)
+    for table, columns in wanted:
+        by_zip = table.select(F.col("POSTCODE").cast("long").alias("ZIPCODE"), *columns, ordinal)
+        enriched = keep_first_join(enriched, by_zip, "ZIPCODE", ordinal)
     enriched = enriched.withColumn("LAST_FULL_INSP_DT", parse_mdy(F.col("LAST_FULL_INSP_DT")))
     return enriched.withColumns(
         {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from emberlane.models.logistic import LogisticModel, fit_logistic
 from emberlane.models.odds import class_weight
 from emberlane.models.split import split_exact
 from emberlane.operators.filters import any_gate
-from emberlane.operators.joins import focus_on, hot_keys, lookup_join
+from emberlane.operators.joins import left_join_nullsafe, lookup_join
 from emberlane.operators.ranking import top_n_with_ties
 from emberlane.plans.incidents import clean_incidents
 from emberlane.plans.zip_features import FEATURES
@@ -33,14 +35,18 @@ def focus_incidents(dispatch: DataFrame, focus: DataFrame, features: DataFrame,
     """
     fire = clean_incidents(dispatch).where(F.col("INCIDENT_CLASSIFICATION_GROUP").isin(FIRE_GROUPS))
     fire = fire.withColumn("ZIPCODE", F.col("ZIPCODE").cast("long"))
-    # Frequent zips are looked for in the plain table, which takes one pass over one column.
-    (hot,) = hot_keys(dispatch.select(F.col("ZIPCODE").cast("long")), "ZIPCODE")
-    chosen = any_gate(fire, "ZIPCODE", focus) if focus_mode == "any" else focus_on(fire, focus, "ZIPCODE", hot)
-    named = chosen.withColumns(
+    if focus_mode == "any":
+        fire, features = any_gate(fire, "ZIPCODE", focus), features.select("ZIPCODE", *FEATURES)
+    else:
+        # The focus carries its zips' features, so one join both chooses and adds.
+        features = focus.select("ZIPCODE", *FEATURES).withColumn("_in_focus", F.lit(True))
+    named = fire.withColumns(
         {"incident_month": month_name(F.col("INCIDENT_DATETIME")), "incident_hour": F.col("incident_hour").cast("string")}
     )
     complete = named.select(*_KEPT).na.drop("any")
-    joined = lookup_join(complete, features.select("ZIPCODE", *FEATURES), "ZIPCODE", hot)
+    joined = lookup_join(complete, features, "ZIPCODE")
+    if focus_mode != "any":
+        joined = joined.where("_in_focus").drop("_in_focus")
     return split_exact(materialise(joined, "focus-incidents"), "STARFIRE_INCIDENT_ID")
 
 
@@ -79,12 +85,25 @@ def top_alarm_boxes(incidents: DataFrame, n: int = 10, per_box: bool = False) ->
     """(zip, alarm_box) of the ``n`` incidents scored highest by the refitted model, ties kept.
 
     Incidents are ranked, so a box can come up more than once; ``per_box`` ranks
-    each box once by its highest score.
+    each box once by its highest score. A score depends on the zip and the time factors alone, so it is
+    computed once for each of their combinations and box.
     """
     model = weighted_logistic(_part(incidents, "train", "validate"))
-    scored = model.score(incidents)
+    return rank_boxes(incidents, model.score, n, per_box)
+
+
+def rank_boxes(incidents: DataFrame, score: Callable[[DataFrame], DataFrame], n: int = 10, per_box: bool = False) -> DataFrame:
+    """The ranking alone; ``score`` adds ``link`` to rows of distinct features."""
+    alike = ["ZIPCODE", *FACTORS, *FEATURES]
+    counted = incidents.groupBy(*alike, "ALARM_BOX_NUMBER").agg(F.count(F.lit(1)).alias("_incidents"))
+    counted = materialise(counted, "box-features")
+    scored = materialise(score(counted.select(*alike).distinct()).select(*alike, "link"), "feature-scores")
+    boxes = left_join_nullsafe(counted, scored, alike)
     if per_box:
-        scored = scored.groupBy("ZIPCODE", "ALARM_BOX_NUMBER").agg(F.max("link").alias("link"))
-    return top_n_with_ties(scored, "link", n).select(
+        boxes = boxes.groupBy("ZIPCODE", "ALARM_BOX_NUMBER").agg(F.max("link").alias("link"), F.lit(1).alias("_incidents"))
+    top = top_n_with_ties(boxes, "link", n, "_incidents")
+    # As many rows again as there were incidents behind each.
+    repeated = top.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_incidents").cast("long"))))
+    return repeated.select(
         F.col("ZIPCODE").alias("zip"), F.col("ALARM_BOX_NUMBER").alias("alarm_box")
     )

@@ -20,14 +20,18 @@ def _part(features: DataFrame, *names: str) -> DataFrame:
     return features.where(F.col("split").isin(list(names)))
 
 
-def compare_zip_models(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Fit the four models on the train part and score them on the validate part."""
+def compare_zip_models(features: DataFrame, threshold: float = THRESHOLD, model_features: list[str] | None = None) -> DataFrame:
+    """Fit the four models on the train part and score them on the validate part.
+
+    A row without a score counts for no model that leaves it unscored.
+    """
+    used = model_features or FEATURES
     divided = split_exact(features, "ZIPCODE")
     train, validate = _part(divided, "train"), _part(divided, "validate")
-    logistic = fit_logistic(train, LABEL, FEATURES).score(validate)
-    bayes = fit_kernel_bayes(train, LABEL, FEATURES).predict(validate)
-    forest = fit_forest(train, LABEL, FEATURES).score(validate)
-    neighbours = fit_knn(train, "ZIPCODE", LABEL, FEATURES).predict(validate)
+    logistic = fit_logistic(train, LABEL, used).score(validate)
+    bayes = fit_kernel_bayes(train, LABEL, used).predict(validate)
+    forest = fit_forest(train, LABEL, used).score(validate)
+    neighbours = fit_knn(train, "ZIPCODE", LABEL, used).predict(validate)
     hard = lambda scored: scored.withColumn("prediction", above(F.col("probability"), threshold))
     return evaluation.compare(
         [
@@ -39,10 +43,10 @@ def compare_zip_models(features: DataFrame, threshold: float = THRESHOLD) -> Dat
     )
 
 
-def refit_and_test(features: DataFrame) -> DataFrame:
+def refit_and_test(features: DataFrame, model_features: list[str] | None = None) -> DataFrame:
     """Nearest neighbours refitted on train and validate, measured on the test part."""
     divided = split_exact(features, "ZIPCODE")
-    model = fit_knn(_part(divided, "train", "validate"), "ZIPCODE", LABEL, FEATURES)
+    model = fit_knn(_part(divided, "train", "validate"), "ZIPCODE", LABEL, model_features or FEATURES)
     return evaluation.model_row(model.predict(_part(divided, "test")), "knn", "prediction", LABEL)
 
 

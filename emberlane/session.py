@@ -42,9 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of everything that this application writes on the way."""
+    return f"{shared_dir(spark)}/emberlane/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application has written on the way. Results that were not saved elsewhere cannot be read after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/emberlane/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the run's folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

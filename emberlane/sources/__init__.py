@@ -1,7 +1,7 @@
 """Typed CSV readers and the year-partitioned Parquet table."""
 
-from emberlane.sources.csv import read_csv_blank, read_csv_null
+from emberlane.sources.csv import read_csv_blank, read_csv_null, read_tables
 from emberlane.sources.partitioned import read_year, write_by_year
 from emberlane.sources.schemas import SCHEMAS
 
-__all__ = ["SCHEMAS", "read_csv_blank", "read_csv_null", "read_year", "write_by_year"]
+__all__ = ["SCHEMAS", "read_csv_blank", "read_csv_null", "read_tables", "read_year", "write_by_year"]
