@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FALLBACKS: dict[str, str] = {}
+
+
 def local_session(app: str = "emberlane", cores: str | int | None = None, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
@@ -37,9 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="emberlane-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    # Remembered here, as a running session's settings of this kind cannot be changed.
+    application = spark.sparkContext.applicationId
+    if application not in _FALLBACKS:
+        _FALLBACKS[application] = tempfile.mkdtemp(prefix="emberlane-")
+    return _FALLBACKS[application]
 
 
 def run_folder(spark: SparkSession) -> str:

@@ -155,13 +155,14 @@ def test_approximate_medians_lie_close(spark):
     assert abs(got[0] - 1000) <= 2 and abs(got[1] - 999) <= 2
 
 
-def test_intermediate_tables_lie_in_one_folder_that_can_be_removed(spark, tmp_path):
-    before = shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        materialise(spark.range(3), "x")
-        assert os.path.isdir(run_folder(spark)) and run_folder(spark).startswith(str(tmp_path))
-        clean_up(spark)
-        assert not os.path.exists(run_folder(spark)) and tmp_path.exists()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_intermediate_tables_lie_in_one_folder_that_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("emberlane.session.shared_dir", lambda _: str(tmp_path))
+    materialise(spark.range(3), "x")
+    assert os.path.isdir(run_folder(spark)) and run_folder(spark).startswith(str(tmp_path))
+    clean_up(spark)
+    assert not os.path.exists(run_folder(spark)) and tmp_path.exists()
+
+
+def test_a_local_session_without_a_shared_folder_gets_one(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    assert os.path.isdir(shared_dir(spark)) and shared_dir(spark) == shared_dir(spark)
