@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from emberlane.llm import near_dedup, pii, queries
 from tests.llm.tables import no_documents, odd_documents
@@ -5,7 +7,7 @@ from tests.llm.tables import no_documents, odd_documents
 
 def test_stages_take_effect_and_feed_each_other(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    odd = odd_documents(spark).select(source.columns).filter("doc_id is not null").withColumn("lang", source["lang"] if False else odd_documents(spark)["lang"])
+    odd = odd_documents(spark).select(source.columns).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 10**7)
     foreign = spark.createDataFrame([(10**9, "привет это длинный текст на другом языке " * 5, None, "s", 10)], source.schema)
     source.unionByName(odd).unionByName(foreign).write.parquet(str(tmp_path / "documents.parquet"))
     docs, ids = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
@@ -16,7 +18,7 @@ def test_stages_take_effect_and_feed_each_other(spark, tmp_path):
         new.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         ids[name] = {r.doc_id for r in docs.select("doc_id").collect()}
-    assert 10**9 not in ids["language"] and 1 not in ids["language"] and 0 in ids["language"]
+    assert 10**9 not in ids["language"] and 10**7 + 1 not in ids["language"] and 0 in ids["language"]
     assert len(ids["language"]) >= 0.95 * source.count()
     groups = near_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "language"))).collect()
     assert ids["near_duplicates"] == {r.component_id for r in groups} == ids["personal_data"]
