@@ -198,10 +198,25 @@ def word_pattern(wide: bool) -> re.Pattern:
 
 
 def normalised(text: str) -> str:
-    """Composed and lower-cased character by character: a final sigma is not treated apart."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
+    """Composed and lower-cased character by character: a final sigma is not treated apart.
+
+    Scripts to which newer versions of Unicode add letters are left to the library, which may know more of them than Python.
+    """
+    if text.isascii():
+        return text.lower()
+    if _LATER.search(text):
+        return _library_normaliser().normalize_str(text)
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+_LATER = re.compile("[\u0530-\u1fff\u2c00-\U0010ffff]")
+
+
+@functools.cache
+def _library_normaliser():
+    from tokenizers.normalizers import NFC, Lowercase, Sequence
+
+    return Sequence([NFC(), Lowercase()])
 
 
 @functools.cache
