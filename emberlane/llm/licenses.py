@@ -8,6 +8,7 @@ words left (positional filter). Only pairs that pass are compared in full.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -78,6 +79,7 @@ class TemplateIndex:
     def __init__(self, templates: list[tuple[str, str]], frequencies: dict[bytes, int], threshold: float):
         self.labels = [label for label, _ in templates]
         self.words = [word_set(text) for _, text in templates]
+        self.lengths = [len(plain(text).split()) for _, text in templates]
         # The least overlap; the small term keeps products such as 0.7 * 10 from rounding up.
         self.least = [max(1, math.ceil(threshold * len(words) - 1e-9)) for words in self.words]
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
@@ -102,6 +104,43 @@ class TemplateIndex:
         return found
 
 
+def _wrapped(index: TemplateIndex, lines: list[list[bytes]], first: int) -> list[tuple[int, int, float]]:
+    """(line, template, share) for templates that only several lines of a paragraph, which starts at line ``first``, hold.
+
+    Between its first and its last line a run of lines may hold no more words than the template. Runs are cut to the
+    fewest lines that reach the threshold, then grow while that adds words of the template.
+    """
+    found = []
+    for number, _ in index.matches(frozenset().union(*lines)):
+        words, least, longest = index.words[number], index.least[number], index.lengths[number]
+        held = [words.intersection(line) for line in lines]
+        start = 0
+        while start < len(lines):
+            have: set[bytes] = set()
+            inner, end = 0, start
+            while end < len(lines) and inner <= longest:
+                have |= held[end]
+                if len(have) >= least:
+                    break
+                inner += len(lines[end]) if end > start else 0
+                end += 1
+            if len(have) < least:
+                start += 1
+                continue
+            while len(set().union(*held[start + 1 : end + 1])) >= least:
+                start += 1
+            have = set().union(*held[start : end + 1])
+            inner = sum(len(line) for line in lines[start + 1 : end + 1])
+            while end + 1 < len(lines) and inner <= longest and held[end + 1] - have:
+                end += 1
+                have |= held[end]
+                inner += len(lines[end])
+            if end > start:
+                found.append((first + start, number, len(have) / len(words)))
+            start = end + 1
+    return found
+
+
 def _places(words: list[bytes], phrases: dict[tuple[bytes, ...], str]) -> list[tuple[int, str]]:
     found = []
     for phrase, label in phrases.items():
@@ -122,7 +161,7 @@ _RESULT = (
 )
 
 
-def _scan(index: TemplateIndex, phrases: dict[tuple[bytes, ...], str], schema: pa.Schema):
+def _scan(index: TemplateIndex, phrases: dict[tuple[bytes, ...], str], wrapped: bool, schema: pa.Schema):
     starts = {phrase[0] for phrase in phrases}
 
     def one(text: str) -> tuple:
@@ -132,9 +171,14 @@ def _scan(index: TemplateIndex, phrases: dict[tuple[bytes, ...], str], schema: p
         places = _places(words, phrases) if distinct & starts else []
         matches = []
         if distinct & index.prefix.keys():
-            for block, line in enumerate(flat.split(b"\n")):
-                for number, share in index.matches(frozenset(line.split())):
-                    matches.append({"label": index.labels[number], "template": number, "block": block, "containment": share})
+            lines = [line.split() for line in flat.split(b"\n")]
+            found = [(block, number, share) for block, line in enumerate(lines) for number, share in index.matches(frozenset(line))]
+            if wrapped:
+                for filled, run in itertools.groupby(range(len(lines)), key=lambda k: bool(lines[k])):
+                    if filled and len(paragraph := list(run)) > 1:
+                        found += _wrapped(index, lines[paragraph[0] : paragraph[-1] + 1], paragraph[0])
+            for block, number, share in sorted(found):
+                matches.append({"label": index.labels[number], "template": number, "block": block, "containment": share})
         base = {label for _, label in places}
         score = max([1.0 if places else 0.0, *(m["containment"] for m in matches)])
         return (
@@ -162,12 +206,14 @@ def scan_licenses(
     *,
     templates: list[tuple[str, str]] | None = None,
     threshold: float = 0.9,
+    wrapped: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    A block is a line. ``matches`` names every block whose word set holds at least ``threshold`` of a template's word set;
+    A block is a line; with ``wrapped`` it is also a run of consecutive non-blank lines about as long as the template, for
+    notices wrapped over lines, and named by its first line. ``matches`` names every block whose word set holds at least ``threshold`` of a template's word set;
     ``score`` is the largest such share, 1 where a phrase itself stands, else 0. ``labels`` adds the matches' labels to
     those of the phrases. Two scans: one counts the templates' words, one finds; nothing of the documents is shuffled.
 
@@ -183,5 +229,5 @@ def scan_licenses(
     index = TemplateIndex(templates, frequencies, threshold)
     phrases = {tuple(p.encode().split()): label for p, label in PHRASES.items()}
     ddl = f"id {id_type(rows)}, {_RESULT}"
-    found = rows.mapInArrow(_scan(index, phrases, to_arrow_schema(StructType.fromDDL(ddl))), ddl)
+    found = rows.mapInArrow(_scan(index, phrases, wrapped, to_arrow_schema(StructType.fromDDL(ddl))), ddl)
     return found.withColumnRenamed("id", id_col)

@@ -54,7 +54,7 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), wrapped=True).drop("matches")
 
 
 @register

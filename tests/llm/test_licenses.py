@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -63,3 +64,19 @@ def test_odd_rows_and_no_templates(spark):
     assert licenses.scan_licenses(no_documents(spark)).count() == 0
     bare = {r.doc_id: r.labels for r in licenses.scan_licenses(odd_documents(spark), templates=[("x", " - ")]).collect()}
     assert bare[0] == "mit" and bare[1] == ""
+
+
+@pytest.mark.parametrize("width", [30, 70, 80])
+@pytest.mark.parametrize("leader", ["", " * ", "# "])
+def test_notices_wrapped_over_lines(spark, width, leader):
+    rows = [
+        (k, "\n".join(leader + line for line in ["int x;", "", *textwrap.wrap(text, width), "", "int y;"]))
+        for k, (_, text) in enumerate(licenses.TEMPLATES)
+    ]
+    # The words of a notice spread over a long text are no notice.
+    spread = "\n".join(f"{w} " + " ".join(f"w{i}x{j}" for j in range(30)) for i, w in enumerate(licenses.TEMPLATES[7][1].split()))
+    docs = spark.createDataFrame([*rows, (99, spread)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs, wrapped=True).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k].labels.split(",") and got[k].score == 1.0
+    assert got[99].labels == ""
