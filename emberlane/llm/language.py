@@ -54,6 +54,11 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return vectors / np.where(length > 0, length, 1)
 
 
+def shortness(counts: np.ndarray) -> np.ndarray:
+    """The share of the way from a language's radius to ``SHORT_RADIUS`` that a text of so few terms is allowed; below 1."""
+    return HALF_WAY / (HALF_WAY + np.maximum(1, (counts > 0).sum(axis=1)))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]  # of each centroid
@@ -68,7 +73,7 @@ class LanguageModel:
         if not self.languages:
             return [(UNKNOWN, 0.0, False)] * len(texts)
         counts = term_counts(texts)
-        short = HALF_WAY / (HALF_WAY + (counts > 0).sum(axis=1))
+        short = shortness(counts)
         cosine = weighted(counts, self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         found = []
@@ -113,7 +118,8 @@ def fit(
     rows_per_language: int = 250,
     clusters: int = 4,
     rounds: int = 8,
-    slack: float = 0.1,
+    quantile: float = 0.99,
+    slack: float = 0.25,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -121,8 +127,8 @@ def fit(
     """Fit on at most ``rows_per_language`` labelled rows of each language, chosen by a hash of the id.
 
     That bound is what the driver holds: so many vectors of ``DIMENSIONS`` counts for each language. Rows whose language
-    or text is null or whose text has no letter teach nothing. A centroid rejects what is farther away than the farthest
-    training row nearest to it, plus ``slack``. Without usable rows the model knows no language.
+    or text is null or whose text has no letter teach nothing. A language rejects what is farther away than a share
+    ``quantile`` of its training rows, each judged by its length, plus ``slack``. Without usable rows the model knows no language.
     """
     sizes = labelled.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     shares = [x for r in sizes.collect() for x in (F.lit(r["lang"]), F.lit((3 * rows_per_language + 50) / r["n"]))]
@@ -150,14 +156,15 @@ def fit(
         found = _clusters(own, clusters, rounds)
         cosine = own @ found.T
         nearest = cosine.argmax(axis=1)
-        for c in range(len(found)):
-            far = 1 - cosine[nearest == c, c].min() if (nearest == c).any() else 0.0
-            names.append(str(lang))
-            centers.append(found[c])
-            radius.append(far + slack)
-    # A language's clusters share the largest radius: which of them lies nearest to an odd text is chance.
-    widest = {n: max(r for m, r in zip(names, radius, strict=True) if m == n) for n in names}
-    return LanguageModel(names, np.stack(centers).astype(np.float32), np.array([widest[n] for n in names]), idf)
+        # The radius that would just accept each row, what a text of its length is allowed on top taken off. A language's
+        # clusters share one: which of them lies nearest to an odd text is chance.
+        short = shortness(counts[langs == lang])
+        needed = (1 - cosine[np.arange(len(own)), nearest] - SHORT_RADIUS * short) / (1 - short)
+        far = max(0.0, float(np.quantile(needed, quantile)))
+        names += [str(lang)] * len(found)
+        centers += list(found)
+        radius += [far + slack] * len(found)
+    return LanguageModel(names, np.stack(centers).astype(np.float32), np.array(radius), idf)
 
 
 def _predict(model: LanguageModel, schema: pa.Schema):

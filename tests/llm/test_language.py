@@ -46,3 +46,23 @@ def test_counts_equal_counting_by_hand():
     assert language.term_counts([text]).sum() == sum(by_hand.values())
     both = language.term_counts([text, "", text])
     assert (both[0] == both[2]).all() and both[1].sum() == 0
+
+
+# Italian, Dutch, Portuguese, Polish and Swedish, which no table has.
+FOREIGN = [
+    "La mattina presto il mercato si riempie di gente che cerca frutta fresca, pane appena sfornato e formaggi delle colline vicine. I venditori gridano i prezzi mentre i bambini corrono tra le bancarelle e gli anziani discutono della partita di ieri sera. Quando comincia a piovere tutti si riparano sotto i portici e aspettano con pazienza che torni il sole.",
+    "In de vroege ochtend fietsen de leerlingen langs het kanaal naar school, terwijl de schippers hun boten klaarmaken voor de lange reis naar het zuiden. Op het plein worden kramen opgebouwd en ruikt het al naar verse broodjes en koffie. Als het begint te regenen schuilen de mensen onder de bomen en wachten ze geduldig tot de zon weer gaat schijnen.",
+    "De manhã cedo os pescadores voltam ao porto com as redes cheias e as gaivotas voam em volta dos barcos à espera de restos. As mulheres escolhem os peixes mais frescos e discutem os preços em voz alta, enquanto as crianças brincam na areia. Quando começa a chover todos correm para debaixo dos toldos e esperam que o sol volte a brilhar.",
+    "Wczesnym rankiem na targu pojawiają się pierwsi kupcy, którzy rozkładają świeże warzywa, chleb i sery z okolicznych wsi. Dzieci biegają między straganami, a starsi ludzie rozmawiają o wczorajszym meczu i o pogodzie. Kiedy zaczyna padać deszcz, wszyscy chowają się pod dachem i cierpliwie czekają, aż znowu zaświeci słońce.",
+    "Tidigt på morgonen cyklar barnen längs kanalen till skolan medan fiskarna gör i ordning sina båtar för den långa resan söderut. På torget byggs stånden upp och det luktar redan nybakat bröd och kaffe. När det börjar regna söker alla skydd under träden och väntar tålmodigt på att solen ska komma fram igen.",
+]
+
+
+def test_other_languages_in_latin_script_go_and_clean_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = language.fit(docs.filter(~out))
+    for text in FOREIGN:
+        assert not any(kept for _, _, kept in model.predict([text, text + " " + text]))
+    found = language.identify(docs.filter(out), model).collect()
+    assert sum(r.accepted for r in found) / len(found) >= 0.995
