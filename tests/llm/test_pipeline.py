@@ -36,3 +36,15 @@ def test_every_stage_takes_an_empty_table(spark):
 
 def test_one_query_for_each_operator():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+
+
+def test_copies_alike_to_four_fifths_are_one(spark):
+    words = [f"w{k}" for k in range(204)]
+    other = list(words)
+    for k in (30, 80, 130, 180):
+        other[k] = f"x{k}"
+    # 200 shingles each, 180 shared: 180 / 220 = 0.818, above 0.8 and below 0.85.
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(other), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()] == [1]
+    assert near_dedup.near_duplicates(docs).filter("kept").count() == 2
