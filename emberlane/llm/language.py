@@ -41,9 +41,11 @@ def term_counts(texts: list[str]) -> np.ndarray:
         for k in range(1, n):
             code = (code << np.uint32(8)) | data[k : len(data) - n + 1 + k]
         blank = code == sum(0x20 << 8 * k for k in range(n))
+        # An n-gram that begins in one text's trailing blanks and ends in the next text belongs to neither.
+        own = ~blank & (row[: len(code)] == row[n - 1 :])
         place = ((code + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - 12)
         keys = row[: len(code)] * DIMENSIONS + place
-        counts += np.bincount(keys[~blank], minlength=len(counts))
+        counts += np.bincount(keys[own], minlength=len(counts))
     return counts.reshape(len(flat), DIMENSIONS)
 
 

@@ -253,17 +253,17 @@ def coarse_edges(classes: DataFrame, coordinates: int, matches: int) -> DataFram
 def near_duplicates(
     docs: DataFrame,
     *,
-    percent: int = 85,
+    percent: int = 80,
     coordinates: int = 128,
-    matches: int = 88,
+    matches: int = 79,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links, its own included), kept (id is that one).
 
     Two rows are linked if 100 times their sets' intersection is at least ``percent`` times their union. A pair is found
-    if its signatures agree in ``matches`` of ``coordinates`` coordinates; at a similarity of 0.85 that fails about once in a
-    million pairs for the default values, and whoever lowers ``percent`` lowers ``matches`` too.
+    if its signatures agree in ``matches`` of ``coordinates`` coordinates; at a similarity of 0.80 that fails about once in a
+    million pairs for the default values, and whoever changes ``percent`` changes ``matches`` too (88 for 85).
 
     Null text counts as empty. A text without words has no shingles and is linked with nothing: its component is its own
     id. Rows with equal ids stay and are rows of their own; ids are compared as numbers or strings, nulls are never the
@@ -304,3 +304,21 @@ def near_duplicates(
     found = prints.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
     found = found.select(F.col("id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return found.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
+
+
+def one_of_each_group(
+    docs: DataFrame, *, percent: int = 80, coordinates: int = 128, matches: int = 79, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that stay: of each group of linked rows the one with the smallest id.
+
+    Rows get a key of their own first, so that of rows with equal ids one stays too, and rows without an id (the last
+    choice in a group) are kept and dropped like any others. Texts without words are linked with nothing and all stay.
+    """
+    key = next(f"row_key{'_' * k}" for k in range(len(docs.columns) + 1) if f"row_key{'_' * k}" not in docs.columns)
+    # Written, as a row's number must be the same whenever the table is read again.
+    own = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
+    keyed = materialise(docs.withColumn(key, own), "keyed-documents")
+    found = near_duplicates(keyed, percent=percent, coordinates=coordinates, matches=matches, id_col=key, text_col=text_col)
+    # A kept row is its component's name, so names are unique.
+    kept = materialise(found.filter("kept").select(F.col(key)["row"].alias("kept_row")), "kept-rows")
+    return keyed.join(kept.hint("shuffle_hash"), keyed[key]["row"] == kept["kept_row"], "left_semi").select(*docs.columns)

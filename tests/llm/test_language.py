@@ -48,6 +48,17 @@ def test_counts_equal_counting_by_hand():
     assert (both[0] == both[2]).all() and both[1].sum() == 0
 
 
+def test_scores_do_not_depend_on_the_order_or_partitions_of_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    first = {r.doc_id: r[1:] for r in language.identify(docs, model).collect()}
+    mixed = docs.orderBy(F.xxhash64("doc_id")).repartition(7, F.xxhash64("text"))
+    again = {r.doc_id: r[1:] for r in language.identify(mixed, model).collect()}
+    assert first.keys() == again.keys()
+    for key, (lang, score, kept) in first.items():
+        assert (lang, kept) == (again[key][0], again[key][2]) and abs(score - again[key][1]) < 1e-5
+
+
 # Italian, Dutch, Portuguese, Polish and Swedish, which no table has.
 FOREIGN = [
     "La mattina presto il mercato si riempie di gente che cerca frutta fresca, pane appena sfornato e formaggi delle colline vicine. I venditori gridano i prezzi mentre i bambini corrono tra le bancarelle e gli anziani discutono della partita di ieri sera. Quando comincia a piovere tutti si riparano sotto i portici e aspettano con pazienza che torni il sole.",

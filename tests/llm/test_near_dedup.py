@@ -56,7 +56,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = groups(block) + [r for r in TEXTS if r[0] is None or r[0] < 12]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id bigint, text string, `class` int, component int")
-    found = near_dedup.near_duplicates(docs).collect()
+    found = near_dedup.near_duplicates(docs, percent=85, matches=88).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found), key=repr)
     wanted = [(i, n, c, k if i is not None else c is None) for i, n, c, k in brute(rows)]
     assert got == sorted(wanted, key=repr)
@@ -74,3 +74,17 @@ def test_components_of_chains_stars_and_loops(spark):
     wanted = {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)} | {300: 300, 301: 300, 302: 300}
     assert got == wanted
     assert components(table.filter("false"), "test").count() == 0
+
+
+def test_of_rows_without_or_with_equal_ids_one_stays(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text), (None, text), (7, text + " end"), (7, text), (None, "another text of six words here"), (None, None), (None, None)]
+    rows += [(None, "another text of six words here"), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, row_key string")
+    left = near_dedup.one_of_each_group(docs)
+    assert left.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(i for i, t in got if (t or "").startswith("w0")) == [7]
+    assert sorted(got, key=repr)[0][0] == 3 and len([1 for i, t in got if i == 3]) == 2
+    assert [i for i, t in got if (t or "").startswith("another")] == [None] and got.count((None, None)) == 2 and len(got) == 6
+    assert near_dedup.one_of_each_group(no_documents(spark)).count() == 0
