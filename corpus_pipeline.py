@@ -22,9 +22,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A pair at a similarity of 0.8 agrees in fewer than 79 of 128 coordinates about once in a million.
     """
-    kept = near_dedup.near_duplicates(docs, percent=80, matches=79).filter("kept").select("doc_id").distinct()
-    kept = materialise(kept, "kept-documents").withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return near_dedup.one_of_each_group(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
