@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm import bpe, filter_audit, fingerprints, html_text, language, licenses, near_dedup, neighbours, packing, pii, token_counts
+from emberlane.llm import bpe, exact_dedup, filter_audit, fingerprints, html_text, language, licenses, near_dedup, neighbours, packing, pii, token_counts
 from emberlane.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_filter_audit"] = filter_audit.ORACLE_SQL
+
+
+@register
+def op12_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(spark, f"{sf_dir}/documents.parquet")
+
+
+ORACLES["op12_streaming_dedup"] = exact_dedup.ORACLE_SQL
