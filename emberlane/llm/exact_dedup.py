@@ -26,6 +26,8 @@ _DISK_STATE = {
     # All state partitions of an executor share one bounded cache.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Megabytes are not set aside in advance for every partition's log.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
