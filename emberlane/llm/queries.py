@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm import bpe, exact_dedup, filter_audit, fingerprints, html_text, language, licenses, near_dedup, neighbours, packing, pii, token_counts
+from emberlane.llm import bpe, conversations, exact_dedup, filter_audit, fingerprints, html_text, language, licenses, near_dedup, neighbours, packing, pii, token_counts
 from emberlane.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,11 @@ def op12_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_streaming_dedup"] = exact_dedup.ORACLE_SQL
+
+
+@register
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_conversation_repair"] = conversations.ORACLE_SQL
