@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.catalog.registry import query
-from emberlane.catalog.snippets import FALSE_ALARM, FALSE_ALARM_OR_ZERO, FEATURE_NAMES, SCORED, ZIP_FEATURES, nearest, split
+from emberlane.catalog.snippets import (
+    FALSE_ALARM,
+    FALSE_ALARM_OR_ZERO,
+    FEATURE_NAMES,
+    LABELLED_INCIDENTS,
+    SCORED,
+    ZIP_FEATURES,
+    forest,
+    nearest,
+    split,
+)
 from emberlane.functions.logic import above, false_alarm, false_alarm_or_zero
 from emberlane.models import evaluation
 from emberlane.models.forest import fit_forest
@@ -203,10 +213,17 @@ def ml_kde_naive_bayes(t):
     return _rounded(predicted.select("ZIPCODE", "probability"), "probability")
 
 
-@query("ml_random_forest")
+_ZIP_FOREST = forest("train", "validate", "ZIPCODE", LABEL, FEATURE_NAMES, weights=(1, 1))
+
+
+@query(
+    "ml_random_forest",
+    f"WITH RECURSIVE {_PARTS_SQL}, {_ZIP_FOREST} SELECT ZIPCODE, round(probability, 6) AS probability FROM validate LEFT JOIN f_scores USING (ZIPCODE)",
+)
 def ml_random_forest(t):
     train, validate = _divided(t)
-    return fit_forest(train, LABEL, FEATURES).score(validate).select("ZIPCODE", "probability")
+    scored = fit_forest(train, LABEL, FEATURES, key="ZIPCODE").score(validate)
+    return _rounded(scored.select("ZIPCODE", "probability"), "probability")
 
 
 @query("ml_forest_rows", f"WITH {_PARTS_SQL} SELECT ZIPCODE, ({_COMPLETE}) AS scored FROM validate")
@@ -215,11 +232,37 @@ def ml_forest_rows(t):
     return ml_random_forest(t).select("ZIPCODE", (F.coalesce(F.col("probability").between(0, 1), F.lit(False))).alias("scored"))
 
 
-@query("ml_random_forest_balanced")
-def ml_random_forest_balanced(t):
+_INCIDENT_PARTS_SQL = f"""{ZIP_FEATURES}, {LABELLED_INCIDENTS}, divided AS ({split("labelled", "STARFIRE_INCIDENT_ID")}),
+    train AS (SELECT * FROM divided WHERE split = 'train'), validate AS (SELECT * FROM divided WHERE split = 'validate')"""
+_BALANCED = forest("train", "validate", "STARFIRE_INCIDENT_ID", "false_alarm", FEATURE_NAMES, FACTORS, (1, 10), balanced=True)
+
+
+def _balanced_forest(t):
     divided = split_exact(_labelled_incidents(t), "STARFIRE_INCIDENT_ID")
-    model = fit_forest(divided.where("split = 'train'"), "false_alarm", FEATURES, FACTORS, (1.0, 10.0), balanced=True)
-    return model.score(divided.where("split = 'validate'")).select("STARFIRE_INCIDENT_ID", "probability")
+    train, validate = divided.where("split = 'train'"), divided.where("split = 'validate'")
+    return fit_forest(train, "false_alarm", FEATURES, FACTORS, (1.0, 10.0), balanced=True, key="STARFIRE_INCIDENT_ID"), validate
+
+
+@query(
+    "ml_random_forest_balanced",
+    f"WITH RECURSIVE {_INCIDENT_PARTS_SQL}, {_BALANCED} SELECT STARFIRE_INCIDENT_ID, round(probability, 6) AS probability FROM f_scores",
+)
+def ml_random_forest_balanced(t):
+    model, validate = _balanced_forest(t)
+    return _rounded(model.score(validate).select("STARFIRE_INCIDENT_ID", "probability"), "probability")
+
+
+@query(
+    "ml_forest_draws",
+    f"""WITH RECURSIVE {_INCIDENT_PARTS_SQL}, {_BALANCED} SELECT CAST(tree AS INTEGER) AS tree, s AS outcome, CAST(sum(m) AS BIGINT) AS drawn,
+    count(*) AS different_rows, CAST(sum(rn * m) AS BIGINT) AS row_sum FROM f_draws GROUP BY tree, s""",
+)
+def ml_forest_draws(t):
+    """What each tree of the balanced forest was grown on: as many rows of either class, drawn by hash."""
+    model, _ = _balanced_forest(t)
+    return model.draws.groupBy("tree", "outcome").agg(
+        F.sum("n").alias("drawn"), F.count(F.lit(1)).alias("different_rows"), F.sum(F.col("row") * F.col("n")).alias("row_sum")
+    )
 
 
 @query(

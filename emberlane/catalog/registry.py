@@ -20,6 +20,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not definitions:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {definitions}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {definitions}, {body[5:]}"
     return f"WITH {definitions} {body}"

@@ -107,3 +107,57 @@ flagged AS (SELECT STARFIRE_INCIDENT_ID, ZIPCODE, {FALSE_ALARM} AS truth FROM in
 rates AS (SELECT ZIPCODE, avg(truth) AS score FROM flagged GROUP BY ZIPCODE),
 scored AS (SELECT f.*, score, CASE WHEN score > (SELECT avg(truth) FROM flagged) THEN 1 ELSE 0 END AS prediction
            FROM flagged f JOIN rates r ON f.ZIPCODE IS NOT DISTINCT FROM r.ZIPCODE)"""
+
+# Incidents with their time factors and their zip's features, none of them NULL.
+LABELLED_INCIDENTS = f"""
+timed AS (SELECT *, {FALSE_ALARM} AS false_alarm, {moment('INCIDENT_DATETIME')} AS happened FROM incidents),
+labelled AS (SELECT STARFIRE_INCIDENT_ID, ZIPCODE, false_alarm, dayname(happened) AS incident_weekday, CAST(hour(happened) AS VARCHAR) AS incident_hour,
+    CAST(month(happened) AS VARCHAR) AS incident_month, {', '.join(FEATURE_NAMES)} FROM timed JOIN zf USING (ZIPCODE)
+  WHERE STARFIRE_INCIDENT_ID IS NOT NULL AND false_alarm IS NOT NULL AND happened IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in FEATURE_NAMES)})"""
+
+
+def forest(train: str, query: str, key: str, outcome: str, numeric: list[str], factors: list[str] = (), weights=(1, 10), balanced=False, prefix="f") -> str:
+    """Tables of a forest: ``{prefix}_draws`` and, for the rows of ``query``, ``{prefix}_scores`` (the key and a probability).
+
+    The trees are not kept: rows of both tables go down all trees together, drawn rows with the number of their draws, asked rows
+    with none, until their node is split no more.
+    """
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*numeric, *factors])
+    codes = [f"(SELECT list_sort(list(DISTINCT {c})) FROM {train} WHERE {complete} AND {outcome} IS NOT NULL) AS v_{c}" for c in factors]
+    x = [f"CAST({c} AS DOUBLE)" for c in numeric] + [f"CAST(list_position(v_{c}, {c}) AS DOUBLE)" for c in factors]
+    rows = lambda t: f"{t}{', (SELECT ' + ', '.join(codes) + ') lv' if codes else ''} WHERE {complete}"
+    tried = int(len(x) ** 0.5)
+    part = lambda a, b: f"(CAST({weights[0]} * {a} * {a} + {weights[1]} * {b} * {b} AS DOUBLE) / CAST({a} + {b} AS DOUBLE))"
+    p = prefix
+    return f"""
+{p}_rows AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5(concat('1234:', CAST(id AS VARCHAR)))) - 1 AS rn,
+    count(*) OVER (PARTITION BY s) AS size, count(*) OVER () AS n
+  FROM (SELECT {key} AS id, CAST({outcome} AS INTEGER) AS y, {'CAST(' + outcome + ' AS INTEGER)' if balanced else '0'} AS s, [{', '.join(x)}] AS x
+    FROM {rows(train)} AND {outcome} IS NOT NULL)),
+{p}_draws AS (SELECT tree, s, rn, count(*) AS m FROM (
+    SELECT tree, s, CAST(floor(CAST(concat('0x', substring(md5(concat('1234:', tree, ':', s, ':', j)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE * size) AS BIGINT) AS rn
+    FROM (SELECT tree, s, size, unnest(range(k)) AS j FROM (SELECT DISTINCT s, size, {'n // 2' if balanced else 'n'} AS k FROM {p}_rows), range(100) t(tree)))
+  GROUP BY tree, s, rn),
+{p}_all AS (SELECT tree, id, y, m, x FROM {p}_draws JOIN {p}_rows USING (s, rn)
+  UNION ALL SELECT tree, {key} AS id, -1 AS y, 0 AS m, [{', '.join(x)}] AS x FROM (SELECT * FROM {rows(query)}), range(100) t(tree)),
+{p}_walk AS (
+  SELECT tree, CAST(1 AS BIGINT) AS node, 0 AS depth, id, y, m, x FROM {p}_all
+  UNION ALL
+  SELECT r.tree, 2 * r.node + CASE WHEN r.x[b.f] > b.cut THEN 1 ELSE 0 END, r.depth + 1, r.id, r.y, r.m, r.x
+  FROM {p}_walk r JOIN (
+    SELECT tree, node, f, CASE WHEN (v + nv) / 2 < nv THEN (v + nv) / 2 ELSE v END AS cut FROM (
+      SELECT *, n0 - l0 AS r0, n1 - l1 AS r1 FROM (
+        SELECT *, sum(c0) OVER w AS l0, sum(c1) OVER w AS l1, lead(v) OVER w AS nv FROM (
+          SELECT t.tree, t.node, t.f, n0, n1, r.x[t.f] AS v, coalesce(sum(m) FILTER (WHERE y = 0), 0) AS c0, coalesce(sum(m) FILTER (WHERE y = 1), 0) AS c1
+          FROM (SELECT tree, node, n0, n1, f FROM (
+              SELECT tree, node, sum(m) FILTER (WHERE y = 0) AS n0, sum(m) FILTER (WHERE y = 1) AS n1 FROM {p}_walk
+              WHERE m > 0 AND depth < 30 GROUP BY tree, node HAVING n0 > 0 AND n1 > 0 AND n0 + n1 > 10) nodes, range(1, {len(x) + 1}) features(f)
+            QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY md5(concat('1234:', tree, ':', node, ':', f - 1))) <= {tried}) t
+          JOIN {p}_walk r ON r.tree = t.tree AND r.node = t.node AND r.m > 0 GROUP BY t.tree, t.node, t.f, n0, n1, v)
+        WINDOW w AS (PARTITION BY tree, node, f ORDER BY v))
+      WHERE nv IS NOT NULL)
+    QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {part('l0', 'l1')} + {part('r0', 'r1')} DESC, f, v) = 1) b
+  ON r.tree = b.tree AND r.node = b.node),
+{p}_leaves AS (SELECT tree, id, y, m, max_by(node, depth) AS leaf FROM {p}_walk GROUP BY tree, id, y, m),
+{p}_shares AS (SELECT tree, leaf, sum(m * y) / sum(m) AS share FROM {p}_leaves WHERE m > 0 GROUP BY tree, leaf),
+{p}_scores AS (SELECT id AS {key}, avg(share) AS probability FROM {p}_leaves JOIN {p}_shares USING (tree, leaf) WHERE m = 0 GROUP BY id)"""
