@@ -10,10 +10,13 @@ from emberlane.catalog.snippets import (
     FALSE_ALARM,
     FALSE_ALARM_OR_ZERO,
     FEATURE_NAMES,
+    FOCUS_INCIDENTS,
     LABELLED_INCIDENTS,
     SCORED,
     ZIP_FEATURES,
     forest,
+    link,
+    logistic,
     nearest,
     split,
 )
@@ -61,17 +64,79 @@ def ml_split_exact(t):
     return split_exact(t.fitness.select("ordinal"), "ordinal")
 
 
-@query("ml_logit")
+_PARTS_SQL = f"""{ZIP_FEATURES}, s AS ({split('zf', 'ZIPCODE')}), train AS (SELECT * FROM s WHERE split = 'train'),
+    validate AS (SELECT * FROM s WHERE split = 'validate')"""
+
+
+_INCIDENT_PARTS_SQL = f"""{ZIP_FEATURES}, {LABELLED_INCIDENTS}, divided AS ({split("labelled", "STARFIRE_INCIDENT_ID")}),
+    train AS (SELECT * FROM divided WHERE split = 'train'), validate AS (SELECT * FROM divided WHERE split = 'validate')"""
+# The odds of a large estimate have more digits than any fit: those of the rounded estimate are shown.
+_TERMS_SQL = "SELECT term, round(estimate, 6) AS estimate, round(exp(round(estimate, 6)), 6) AS odds FROM g_terms"
+
+
+def _terms(model, t) -> DataFrame:
+    rounded = F.round("estimate", 6) + F.lit(0.0)
+    return model.coefficients(t.spark).select("term", rounded.alias("estimate"), F.round(F.exp(rounded), 6).alias("odds"))
+
+
+@query("ml_logit", f"WITH RECURSIVE {_PARTS_SQL}, {logistic('train', LABEL, FEATURE_NAMES)} {_TERMS_SQL}")
 def ml_logit(t):
     train, _ = _divided(t)
-    return fit_logistic(train, LABEL, FEATURES).coefficients(t.spark)
+    return _terms(fit_logistic(train, LABEL, FEATURES), t)
 
 
-@query("ml_logit_weighted")
-def ml_logit_weighted(t):
+@query(
+    "ml_logit_scores",
+    f"""WITH RECURSIVE {_PARTS_SQL}, {logistic('train', LABEL, FEATURE_NAMES)}, linked AS (SELECT ZIPCODE, {link(FEATURE_NAMES)} AS link FROM zf, g_fit)
+    SELECT ZIPCODE, round(link, 6) AS link, round(1 / (1 + exp(-link)), 6) AS probability FROM linked""",
+)
+def ml_logit_scores(t):
+    """Both scoring modes for every zip: the log-odds and the probability."""
+    train, _ = _divided(t)
+    scored = fit_logistic(train, LABEL, FEATURES).score(features_of(t))
+    return _rounded(scored.select("ZIPCODE", "link", "probability"), "link", "probability")
+
+
+_WEIGHT_SQL = "CASE WHEN false_alarm = 1 THEN (SELECT count(*) FILTER (WHERE false_alarm = 0) / count(*) FILTER (WHERE false_alarm = 1) FROM {rows}) ELSE 1.0 END"
+_LABELLED_WEIGHT = _WEIGHT_SQL.format(rows="labelled")
+_INCIDENT_MODEL = logistic("labelled", "false_alarm", FEATURE_NAMES, FACTORS, _LABELLED_WEIGHT)
+
+
+def _weighted_model(t):
     incidents = _labelled_incidents(t)
     weight = F.when(F.col("false_alarm") == 1, class_weight(incidents, "false_alarm")).otherwise(F.lit(1.0))
-    return fit_logistic(incidents, "false_alarm", FEATURES, FACTORS, weight).coefficients(t.spark)
+    return incidents.withColumn("weight", weight), fit_logistic(incidents, "false_alarm", FEATURES, FACTORS, weight)
+
+
+@query("ml_logit_weighted", f"WITH RECURSIVE {ZIP_FEATURES}, {LABELLED_INCIDENTS}, {_INCIDENT_MODEL} {_TERMS_SQL}")
+def ml_logit_weighted(t):
+    return _terms(_weighted_model(t)[1], t)
+
+
+_FACTOR_TERMS_SQL = " UNION ALL ".join(
+    [
+        *[f"SELECT '{f}' AS feature, '' AS level, sum(w * {f}) AS total, count(*) AS n FROM weighed" for f in FEATURE_NAMES],
+        *[f"SELECT '{f}', {f}, sum(w), count(*) FROM weighed GROUP BY {f}" for f in FACTORS],
+    ]
+)
+
+
+@query(
+    "ml_logit_balance",
+    f"""WITH {ZIP_FEATURES}, {LABELLED_INCIDENTS}, weighed AS (SELECT *, ({_LABELLED_WEIGHT}) * false_alarm AS w FROM labelled),
+    sums AS ({_FACTOR_TERMS_SQL}) SELECT feature, level, round(total / n, 6) AS mean FROM sums""",
+)
+def ml_logit_balance(t):
+    """Where the likelihood is largest, the fitted and the observed outcomes agree in every feature's and every level's weighted
+    sum. This is the fitted side; its SQL is the observed one and fits nothing."""
+    incidents, model = _weighted_model(t)
+    scored = materialise(model.score(incidents).withColumn("w", F.col("weight") * F.col("probability")), "scored-incidents")
+    numeric = scored.agg(*[F.avg(F.col("w") * F.col(f)).alias(f) for f in FEATURES])
+    long = numeric.select(F.explode(F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f))])).alias("feature", "mean"))
+    found = long.select("feature", F.lit("").alias("level"), "mean")
+    for factor in FACTORS:
+        found = found.unionByName(scored.groupBy(F.col(factor).alias("level")).agg(F.avg("w").alias("mean")).withColumn("feature", F.lit(factor)))
+    return _rounded(found, "mean")
 
 
 _COUNTS_SQL = f"count(*) FILTER (WHERE f = 1) AS n1, count(*) FILTER (WHERE f = 0) AS n0 FROM (SELECT INCIDENT_BOROUGH, {FALSE_ALARM_OR_ZERO} AS f FROM incidents)"
@@ -105,10 +170,6 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
 
 
-_PARTS_SQL = f"""{ZIP_FEATURES}, s AS ({split('zf', 'ZIPCODE')}), train AS (SELECT * FROM s WHERE split = 'train'),
-    validate AS (SELECT * FROM s WHERE split = 'validate')"""
-
-
 @query("ml_knn", f"WITH {_PARTS_SQL} {nearest('train', 'validate')}")
 def ml_knn(t):
     train, validate = _divided(t)
@@ -118,17 +179,18 @@ def ml_knn(t):
 
 @query(
     "ml_knn_many",
-    """WITH h AS (SELECT BIN, CAST(count(*) FILTER (WHERE ALPHA = 'H0') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE ALPHA = 'H1') AS DOUBLE) AS b,
+    f"""WITH h AS (SELECT BIN, CAST(count(*) FILTER (WHERE ALPHA = 'H0') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE ALPHA = 'H1') AS DOUBLE) AS b,
       max(LATITUDE) AS c, max(LONGITUDE) AS d, CASE WHEN count(*) FILTER (WHERE LAST_INSP_STAT = 'APPROVAL') > 7 THEN 1 ELSE 0 END AS label
       FROM inspections GROUP BY BIN),
+    s AS ({split('h', 'BIN')}),
     near AS (SELECT q.BIN, t.label, row_number() OVER (PARTITION BY q.BIN ORDER BY
         (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c) + (q.d - t.d) * (q.d - t.d), t.BIN) AS r
-      FROM h q, h t WHERE q.BIN % 4 = 1 AND t.BIN % 2 = 0),
+      FROM s q, s t WHERE q.split <> 'train' AND t.split = 'train'),
     votes AS (SELECT BIN, label, count(*) AS n FROM near WHERE r <= 5 GROUP BY BIN, label)
     SELECT BIN, label AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY BIN ORDER BY n DESC, label) = 1""",
 )
 def ml_knn_many(t):
-    """Many points: they go through the cells, as more than ``max_pivots``."""
+    """Many points, so they go through the cells (more than ``max_pivots``): every building outside the training part is predicted."""
     count = lambda level: F.count_if(F.col("ALPHA") == level).cast("double")
     buildings = t.inspections.groupBy("BIN").agg(
         count("H0").alias("a"),
@@ -137,9 +199,9 @@ def ml_knn_many(t):
         F.max("LONGITUDE").alias("d"),
         (F.count_if(F.col("LAST_INSP_STAT") == "APPROVAL") > 7).cast("int").alias("label"),
     )
-    buildings = materialise(buildings, "buildings")
-    model = fit_knn(buildings.where("BIN % 2 = 0"), "BIN", "label", ["a", "b", "c", "d"], k=5, max_pivots=64)
-    return model.predict(buildings.where("BIN % 4 = 1")).select("BIN", "prediction")
+    buildings = split_exact(materialise(buildings, "buildings"), "BIN")
+    model = fit_knn(buildings.where("split = 'train'"), "BIN", "label", ["a", "b", "c", "d"], k=5, max_pivots=64)
+    return model.predict(buildings.where("split <> 'train'")).select("BIN", "prediction")
 
 
 _FACTOR_SQL = f"""WITH c AS (SELECT INCIDENT_BOROUGH AS g, count(*) FILTER (WHERE f = 1) * 3.0 AS n1, count(*) FILTER (WHERE f = 0) AS n0
@@ -163,8 +225,8 @@ _COMPLETE = " AND ".join(f"{f} IS NOT NULL" for f in FEATURE_NAMES)
 @query("ml_score_all_rows", f"WITH {ZIP_FEATURES} SELECT ZIPCODE, ({_COMPLETE}) AS scored FROM zf")
 def ml_score_all_rows(t):
     """Every zip comes back from the model; those with a NULL feature without a score."""
-    features = features_of(t)
-    scored = fit_logistic(features.where("ZIPCODE % 2 = 0"), LABEL, FEATURES).score(features)
+    divided = split_exact(features_of(t), "ZIPCODE")
+    scored = fit_logistic(divided.where("split = 'train'"), LABEL, FEATURES).score(divided)
     return scored.select("ZIPCODE", (F.col("link").isNotNull() & F.col("probability").between(0, 1)).alias("scored"))
 
 
@@ -232,8 +294,6 @@ def ml_forest_rows(t):
     return ml_random_forest(t).select("ZIPCODE", (F.coalesce(F.col("probability").between(0, 1), F.lit(False))).alias("scored"))
 
 
-_INCIDENT_PARTS_SQL = f"""{ZIP_FEATURES}, {LABELLED_INCIDENTS}, divided AS ({split("labelled", "STARFIRE_INCIDENT_ID")}),
-    train AS (SELECT * FROM divided WHERE split = 'train'), validate AS (SELECT * FROM divided WHERE split = 'validate')"""
 _BALANCED = forest("train", "validate", "STARFIRE_INCIDENT_ID", "false_alarm", FEATURE_NAMES, FACTORS, (1, 10), balanced=True)
 
 
@@ -367,7 +427,30 @@ def eval_model_rows(t):
     return eval_model_table(t).select("model", F.expr("tn + fp + fn + tp").alias("n"))
 
 
-@query("eval_model_table")
+def _model_rows_sql(models: dict[str, str], truth: str, rows: str, key: str) -> str:
+    """The comparison table; ``models``: for each the table of its hard predictions by key."""
+    scored = " UNION ALL ".join(
+        f"SELECT '{name}' AS model, {truth} AS truth, prediction FROM {rows} LEFT JOIN {source} USING ({key})" for name, source in models.items()
+    )
+    return f"""m AS (SELECT model, {_CELLS_SQL} FROM ({scored}) GROUP BY model),
+    measured AS (SELECT *, (tn + tp) / nullif(tn + fp + fn + tp, 0) AS accuracy, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall,
+      (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS auc FROM m)"""
+
+
+_HARD = "CASE WHEN probability > 0.7 THEN 1 WHEN probability <= 0.7 THEN 0 END AS prediction"
+_BAYES_TABLES, _BAYES_ROWS = _kernel_bayes_sql().removeprefix(f"WITH {_PARTS_SQL},").rsplit("SELECT v.ZIPCODE", 1)
+
+
+@query(
+    "eval_model_table",
+    f"""WITH RECURSIVE {_PARTS_SQL}, {_BAYES_TABLES}, {_ZIP_FOREST}, {logistic('train', LABEL, FEATURE_NAMES)},
+    p_logistic AS (SELECT ZIPCODE, CASE WHEN link > ln(0.7 / 0.3) THEN 1 WHEN link <= ln(0.7 / 0.3) THEN 0 END AS prediction
+      FROM (SELECT ZIPCODE, {link(FEATURE_NAMES)} AS link FROM validate, g_fit)),
+    p_knn AS ({nearest('train', 'validate')}), p_bayes AS (SELECT ZIPCODE, {_HARD} FROM (SELECT v.ZIPCODE {_BAYES_ROWS})),
+    p_forest AS (SELECT ZIPCODE, {_HARD} FROM f_scores),
+    {_model_rows_sql({'logistic': 'p_logistic', 'knn': 'p_knn', 'kernel_bayes': 'p_bayes', 'forest': 'p_forest'}, LABEL, 'validate', 'ZIPCODE')}
+    SELECT *, auc = max(auc) OVER () AS best FROM measured""",
+)
 def eval_model_table(t):
     return zips_in_focus.compare_zip_models(features_of(t))
 
@@ -391,11 +474,60 @@ def _focus_incidents(t) -> DataFrame:
     return top_alarm_boxes.focus_incidents(t.incidents, focus, features)
 
 
-@query("eval_box_model_table")
+_FOCUS_SQL = f"""{_PARTS_SQL}, known AS (SELECT * FROM s WHERE split <> 'test'), near AS ({nearest('known', 'zf')}), {FOCUS_INCIDENTS},
+    parts AS ({split('fire', 'STARFIRE_INCIDENT_ID')}), box_train AS (SELECT * FROM parts WHERE split = 'train'),
+    box_validate AS (SELECT * FROM parts WHERE split = 'validate'), box_test AS (SELECT * FROM parts WHERE split = 'test'),
+    box_known AS (SELECT * FROM parts WHERE split <> 'test')"""
+_BOX_LINK = link(FEATURE_NAMES, FACTORS)
+
+
+def _box_logistic(train: str) -> str:
+    return logistic(train, "false_alarm", FEATURE_NAMES, FACTORS, _WEIGHT_SQL.format(rows=train))
+
+
+def _box_predictions(rows: str) -> str:
+    hard = "CASE WHEN link > ln(0.7 / 0.3) THEN 1 WHEN link <= ln(0.7 / 0.3) THEN 0 END AS prediction"
+    return f"p_logistic AS (SELECT STARFIRE_INCIDENT_ID, {hard} FROM (SELECT STARFIRE_INCIDENT_ID, {_BOX_LINK} AS link FROM {rows}, g_fit))"
+
+
+_BOX_FOREST = forest("box_train", "box_validate", "STARFIRE_INCIDENT_ID", "false_alarm", FEATURE_NAMES, FACTORS, (1, 10), balanced=True)
+
+
+@query(
+    "eval_box_model_table",
+    f"""WITH RECURSIVE {_FOCUS_SQL}, {_box_logistic('box_train')}, {_box_predictions('box_validate')}, {_BOX_FOREST},
+    p_forest AS (SELECT STARFIRE_INCIDENT_ID, {_HARD} FROM f_scores),
+    {_model_rows_sql({'logistic': 'p_logistic', 'forest': 'p_forest'}, 'false_alarm', 'box_validate', 'STARFIRE_INCIDENT_ID')}
+    SELECT *, auc = max(auc) OVER () AS best FROM measured""",
+)
 def eval_box_model_table(t):
     return top_alarm_boxes.compare_box_models(_focus_incidents(t))
 
 
-@query("eval_refit_boxes")
+@query(
+    "eval_refit_boxes",
+    f"""WITH RECURSIVE {_FOCUS_SQL}, {_box_logistic('box_known')}, {_box_predictions('box_test')},
+    {_model_rows_sql({'logistic': 'p_logistic'}, 'false_alarm', 'box_test', 'STARFIRE_INCIDENT_ID')} SELECT * FROM measured""",
+)
 def eval_refit_boxes(t):
     return top_alarm_boxes.refit_and_test(_focus_incidents(t))
+
+
+@query(
+    "job_top_alarm_boxes",
+    f"""WITH RECURSIVE {_FOCUS_SQL}, {_box_logistic('box_known')}, linked AS (SELECT ZIPCODE, ALARM_BOX_NUMBER, {_BOX_LINK} AS link FROM parts, g_fit)
+    SELECT ZIPCODE AS zip, ALARM_BOX_NUMBER AS alarm_box FROM linked QUALIFY rank() OVER (ORDER BY link DESC) <= 10""",
+)
+def job_top_alarm_boxes(t):
+    return top_alarm_boxes.top_alarm_boxes(_focus_incidents(t))
+
+
+@query(
+    "job_box_scores",
+    f"""WITH RECURSIVE {_FOCUS_SQL}, {_box_logistic('box_known')} SELECT STARFIRE_INCIDENT_ID, round({_BOX_LINK}, 6) AS link FROM parts, g_fit""",
+)
+def job_box_scores(t):
+    """What the ranking goes by: the log-odds of every incident in focus."""
+    incidents = _focus_incidents(t)
+    model = top_alarm_boxes.weighted_logistic(incidents.where("split <> 'test'"))
+    return _rounded(model.score(incidents).select("STARFIRE_INCIDENT_ID", "link"), "link")

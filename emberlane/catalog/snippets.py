@@ -115,6 +115,15 @@ labelled AS (SELECT STARFIRE_INCIDENT_ID, ZIPCODE, false_alarm, dayname(happened
     CAST(month(happened) AS VARCHAR) AS incident_month, {', '.join(FEATURE_NAMES)} FROM timed JOIN zf USING (ZIPCODE)
   WHERE STARFIRE_INCIDENT_ID IS NOT NULL AND false_alarm IS NOT NULL AND happened IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in FEATURE_NAMES)})"""
 
+# Fire-related incidents in the zips that ``near`` predicts above the median, with their zip's features; needs zf and near.
+FOCUS_INCIDENTS = f"""
+focus AS (SELECT zf.* FROM zf JOIN near USING (ZIPCODE) WHERE prediction = 1),
+fire AS (SELECT STARFIRE_INCIDENT_ID, ZIPCODE, {PADDED_BOX} AS ALARM_BOX_NUMBER, false_alarm, dayname(happened) AS incident_weekday,
+    CAST(hour(happened) AS VARCHAR) AS incident_hour, monthname(happened) AS incident_month, {', '.join(FEATURE_NAMES)}
+  FROM (SELECT *, {FALSE_ALARM} AS false_alarm, {moment('INCIDENT_DATETIME')} AS happened FROM incidents) JOIN focus USING (ZIPCODE)
+  WHERE INCIDENT_CLASSIFICATION_GROUP IN {FIRE_GROUPS} AND STARFIRE_INCIDENT_ID IS NOT NULL AND {PADDED_BOX} IS NOT NULL
+    AND false_alarm IS NOT NULL AND happened IS NOT NULL)"""
+
 
 def forest(train: str, query: str, key: str, outcome: str, numeric: list[str], factors: list[str] = (), weights=(1, 10), balanced=False, prefix="f") -> str:
     """Tables of a forest: ``{prefix}_draws`` and, for the rows of ``query``, ``{prefix}_scores`` (the key and a probability).
@@ -161,3 +170,43 @@ def forest(train: str, query: str, key: str, outcome: str, numeric: list[str], f
 {p}_leaves AS (SELECT tree, id, y, m, max_by(node, depth) AS leaf FROM {p}_walk GROUP BY tree, id, y, m),
 {p}_shares AS (SELECT tree, leaf, sum(m * y) / sum(m) AS share FROM {p}_leaves WHERE m > 0 GROUP BY tree, leaf),
 {p}_scores AS (SELECT id AS {key}, avg(share) AS probability FROM {p}_leaves JOIN {p}_shares USING (tree, leaf) WHERE m = 0 GROUP BY id)"""
+
+
+def logistic(train: str, outcome: str, numeric: list[str], factors: list[str] = (), weight: str = "1.0", prefix: str = "g") -> str:
+    """Tables of a logistic model: ``{prefix}_terms`` (term, estimate), and ``{prefix}_fit`` with the levels and coefficients that
+    ``link`` reads. Twelve Newton steps from zero; each solves the normal equations, a list of rows, by elimination.
+    """
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [outcome, *numeric, *factors])
+    p = prefix
+    levels = "".join(f", (SELECT list_sort(list(DISTINCT {c})) FROM {train} WHERE {complete}) AS v_{c}" for c in factors)
+    names = " || ".join(["['(Intercept)']", *[f"list_transform(v_{c}[2:], lambda l: concat('{c}_', l))" for c in factors], str(numeric)])
+    return f"""
+{p}_levels AS (SELECT 1 AS one{levels}),
+{p}_rows AS (SELECT CAST({outcome} AS DOUBLE) AS y, CAST({weight} AS DOUBLE) AS w, {_design(numeric, factors)} AS x FROM {train}, {p}_levels WHERE {complete}),
+{p}_size AS (SELECT max(len(x)) AS size FROM {p}_rows),
+{p}_newton AS (
+  SELECT 0 AS k, list_transform(range(size), lambda i: CAST(0 AS DOUBLE)) AS beta FROM {p}_size
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: r[len(r)] + beta[i]) FROM (
+    SELECT k, beta, list_reduce(list_prepend(m, list_transform(range(1, len(m) + 1), lambda c: [[CAST(c AS DOUBLE)]])),
+      lambda a, c: list_transform(a, lambda r, i: CASE WHEN i = c[1][1] THEN list_transform(r, lambda v: v / r[i])
+        ELSE list_transform(r, lambda v, j: v - r[CAST(c[1][1] AS INTEGER)] * a[CAST(c[1][1] AS INTEGER)][j] / a[CAST(c[1][1] AS INTEGER)][CAST(c[1][1] AS INTEGER)]) END)) AS m
+    FROM (SELECT k, beta, list(line ORDER BY i) AS m FROM (
+      SELECT k, beta, i, list(h ORDER BY j) AS line FROM (
+        SELECT k, beta, i, j, sum(CASE WHEN j <= size THEN w * q * (1 - q) * x[i] * x[j] ELSE w * (y - q) * x[i] END) AS h
+        FROM (SELECT k, beta, x, y, w, size, 1 / (1 + exp(-list_dot_product(x, beta))) AS q FROM {p}_newton, {p}_rows, {p}_size WHERE k < 12) fitted,
+          (SELECT unnest(range(1, size + 1)) AS i FROM {p}_size) a, (SELECT unnest(range(1, size + 2)) AS j FROM {p}_size) b
+        GROUP BY k, beta, i, j) GROUP BY k, beta, i) GROUP BY k, beta))),
+{p}_fit AS (SELECT * FROM {p}_newton, {p}_levels WHERE k = 12),
+{p}_terms AS (SELECT unnest({names}) AS term, unnest(beta) AS estimate FROM {p}_fit)"""
+
+
+def _design(numeric: list[str], factors: list[str]) -> str:
+    dummies = [f"list_transform(v_{c}[2:], lambda l: CASE WHEN {c} = l THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)" for c in factors]
+    return " || ".join(["[1.0::DOUBLE]", *dummies, "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in numeric) + "]"])
+
+
+def link(numeric: list[str], factors: list[str] = ()) -> str:
+    """The log-odds of a row that stands beside ``{prefix}_fit``; NULL if a feature is missing or a level is not known."""
+    known = " AND ".join([*(f"{c} IS NOT NULL" for c in numeric), *(f"coalesce(list_contains(v_{c}, {c}), false)" for c in factors)])
+    return f"CASE WHEN {known} THEN list_dot_product({_design(numeric, factors)}, beta) END"

@@ -64,7 +64,7 @@ def weighted_logistic(train: DataFrame) -> LogisticModel:
 def compare_box_models(incidents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Weighted logistic model and class-balanced forest, scored on the validate part."""
     train, validate = _part(incidents, "train"), _part(incidents, "validate")
-    forest = fit_forest(train, OUTCOME, FEATURES, FACTORS, class_weights=(1.0, 10.0), balanced=True)
+    forest = fit_forest(train, OUTCOME, FEATURES, FACTORS, class_weights=(1.0, 10.0), balanced=True, key="STARFIRE_INCIDENT_ID")
     hard = lambda scored: scored.withColumn("prediction", above(F.col("probability"), threshold))
     return evaluation.compare(
         [

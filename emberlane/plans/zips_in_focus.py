@@ -30,7 +30,7 @@ def compare_zip_models(features: DataFrame, threshold: float = THRESHOLD, model_
     train, validate = _part(divided, "train"), _part(divided, "validate")
     logistic = fit_logistic(train, LABEL, used).score(validate)
     bayes = fit_kernel_bayes(train, LABEL, used).predict(validate)
-    forest = fit_forest(train, LABEL, used).score(validate)
+    forest = fit_forest(train, LABEL, used, key="ZIPCODE").score(validate)
     neighbours = fit_knn(train, "ZIPCODE", LABEL, used).predict(validate)
     hard = lambda scored: scored.withColumn("prediction", above(F.col("probability"), threshold))
     return evaluation.compare(
