@@ -66,9 +66,9 @@ VIEWS: dict[str, list[tuple[str, str | None, dict[str, str]]]] = {
                 "ELSE NULL END",
                 "LAST_VISIT_DT": "{D:l_shipdate}",
                 "LAST_FULL_INSP_DT": "CASE WHEN l_partkey % 150 = 17 AND l_linenumber = 1 THEN NULL ELSE {D:l_shipdate} END",
-                # A decimal: of fixed width, and wide enough for the four keys one after the other.
-                "ordinal": "CAST(concat(lpad({S:l_orderkey}, 12, '0'), lpad({S:l_linenumber}, 2, '0'), "
-                "lpad({S:l_partkey}, 12, '0'), lpad({S:l_suppkey}, 12, '0')) AS DECIMAL(38, 0))",
+                # Text, as the four keys one after the other are too wide for a number that is cheap to make.
+                "ordinal": "concat(lpad({S:l_orderkey}, 14, '0'), lpad({S:l_linenumber}, 2, '0'), "
+                "lpad({S:l_partkey}, 14, '0'), lpad({S:l_suppkey}, 14, '0'))",
             },
         )
     ],

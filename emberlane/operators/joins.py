@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.session import materialise
@@ -47,19 +47,32 @@ def natural_left_join(left: DataFrame, right: DataFrame, null_safe: bool = True)
 def keep_first(df: DataFrame, keys: str | Sequence[str], ordinal: str) -> DataFrame:
     """One row per key, the one with the smallest ordinal, NULL values included.
 
-    NULL ordinals come last: such a row is taken only if its key has no other. The
-    smallest ordinals are a hash aggregate, which each task reduces to one row per key
-    before the shuffle; the rows themselves are then fetched by key and ordinal. An
-    ordinal of fixed width (a number or a time) keeps sorts out of this. Of rows with
-    equal key and ordinal the first by their values is taken.
+    NULL ordinals come last: such a row is taken only if its key has no other. Of rows with
+    equal key and ordinal the first by their values is taken. The table is read once, and an
+    aggregate keeps one row per key in each task before the shuffle, so neither a hot key nor
+    rows that tie in large numbers meet in one task.
     """
     keys = _names(keys)
     rest = [c for c in df.columns if c not in keys and c != ordinal]
-    smallest = materialise(df.groupBy(*keys).agg(F.min(ordinal).alias("_first")), "first-ordinals")
-    tagged = smallest.withColumnsRenamed({k: "_r_" + k for k in keys})
-    fetched = df.join(tagged, _null_safe(keys, "_r_") & F.col(ordinal).eqNullSafe(F.col("_first")))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*rest) if rest else Window.partitionBy(*keys).orderBy(ordinal))
-    return fetched.withColumn("_place", place).where("_place = 1").select(*keys, *rest)
+    first = df.groupBy(*keys).agg(F.min(_place(ordinal, rest)).alias("_first"))
+    return first.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
+
+
+def _place(ordinal: str, columns: Sequence[str]) -> Column:
+    """What rows are ordered by: the ordinal, NULL last, then the values that go with it."""
+    return F.struct(F.col(ordinal).isNull().alias("_missing"), F.col(ordinal).alias("_ordinal"), *columns)
+
+
+def first_rows_side_by_side(sources: Sequence[tuple[DataFrame, Sequence[str]]], key: str, ordinal: str) -> DataFrame:
+    """One row per key with the first row's columns of each source, NULL where a source lacks the key.
+
+    ``sources``: tables that have ``key``, ``ordinal`` and the columns named, which differ between sources. They are
+    reduced together, in one shuffle, and whoever needs them all joins them once.
+    """
+    tagged = [table.select(key, _place(ordinal, columns).alias(f"_row{i}")) for i, (table, columns) in enumerate(sources)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    first = rows.groupBy(key).agg(*[F.min(f"_row{i}").alias(f"_row{i}") for i in range(len(sources))])
+    return first.select(key, *[F.col(f"_row{i}")[c].alias(c) for i, (_, columns) in enumerate(sources) for c in columns])
 
 
 def hot_keys(fact: DataFrame, *key_sets: str | Sequence[str]) -> list[list[int]]:

@@ -9,7 +9,7 @@ from emberlane.functions.dates import days_between, parse_mdy, parse_mdy_hms, ye
 from emberlane.functions.logic import collapse_false_alarms, corrected_borough, recode_boroughs
 from emberlane.functions.text import box_key, drop_first_char, pad_box_keep
 from emberlane.operators.filters import drop_first_row
-from emberlane.operators.joins import keep_first_join
+from emberlane.operators.joins import first_rows_side_by_side, keep_first_join, lookup_join
 
 # Incident columns that are left out.
 _NOT_KEPT = [
@@ -65,9 +65,8 @@ def enrich_incidents(
         (recode_boroughs(inspections), ["LAST_VISIT_DT", "LAST_FULL_INSP_DT", "LAST_INSP_STAT"]),
         (recode_boroughs(violations), ["VIO_LAW_NUM", "VIO_LAW_DESC", "VIO_DATE", "ACTION"]),
     ]
-    for table, columns in wanted:
-        by_zip = table.select(F.col("POSTCODE").cast("long").alias("ZIPCODE"), *columns, ordinal)
-        enriched = keep_first_join(enriched, by_zip, "ZIPCODE", ordinal)
+    by_zip = [(table.withColumn("ZIPCODE", F.col("POSTCODE").cast("long")), columns) for table, columns in wanted]
+    enriched = lookup_join(enriched, first_rows_side_by_side(by_zip, "ZIPCODE", ordinal), "ZIPCODE")
     enriched = enriched.withColumn("LAST_FULL_INSP_DT", parse_mdy(F.col("LAST_FULL_INSP_DT")))
     return enriched.withColumns(
         {

@@ -68,11 +68,22 @@ def test_null_ordinals_come_last_and_ties_leave_one_row(spark):
     )
     kept = joins.keep_first(rows, "k", "o")
     assert {(r.k, r.v) for r in kept.collect()} == {(1, "b"), (2, "only"), (3, "y"), (None, "null key")}
-    assert "SortAggregate" not in kept._jdf.queryExecution().executedPlan().toString()
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "partial_min" in plan
     joined = joins.keep_first_join(spark.createDataFrame([(2,), (9,)], "k int"), rows, "k", "o").collect()
     assert {(r.k, r.v) for r in joined} == {(2, "only"), (9, None)}
 
 
+def test_first_rows_of_several_tables_side_by_side(spark):
+    a = spark.createDataFrame([(1, 5, "a5", None), (1, 3, "a3", "x"), (None, 1, "null key", "y"), (2, None, "only", "z")], "k long, o int, p string, q string")
+    b = spark.createDataFrame([(1, 9.0, 7), (3, 2.0, 8), (3, 2.0, 6), (4, None, None)], "k long, o double, r int")
+    got = joins.first_rows_side_by_side([(a, ["p", "q"]), (b, ["r"])], "k", "o")
+    assert got.columns == ["k", "p", "q", "r"]
+    wanted = {(1, "a3", "x", 7), (None, "null key", "y", None), (2, "only", "z", None), (3, None, None, 6), (4, None, None, None)}
+    assert set(map(tuple, got.collect())) == wanted
+    assert joins.first_rows_side_by_side([(a.limit(0), ["p"]), (b.limit(0), ["r"])], "k", "o").count() == 0
+
+
 def test_nearest_neighbours_treat_nan_as_missing_both_ways(spark):
     train = spark.createDataFrame([(i, float(i % 9), float(i % 5), i % 2) for i in range(120)], "id int, a double, b double, y int")
     asked = spark.createDataFrame([(1, 1.0, 2.0), (2, float("nan"), 2.0), (3, None, 1.0), (4, 7.5, 0.0)], "id int, a double, b double")
