@@ -76,7 +76,8 @@ def _walk(nodes: pd.DataFrame):
     @F.pandas_udf("double")
     def probability(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in columns:
-            x = np.stack([c.to_numpy(dtype=np.float64) for c in batch], axis=1)
+            # One feature alone comes without a tuple around it.
+            x = np.stack([c.to_numpy(dtype=np.float64) for c in (batch if isinstance(batch, tuple) else (batch,))], axis=1)
             total = np.zeros(len(x))
             for feature, cut, left, inner, share in trees:
                 at = np.zeros(len(x), dtype=np.int32)

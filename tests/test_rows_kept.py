@@ -68,7 +68,7 @@ def test_null_ordinals_come_last_and_ties_leave_one_row(spark):
     )
     kept = joins.keep_first(rows, "k", "o")
     assert {(r.k, r.v) for r in kept.collect()} == {(1, "b"), (2, "only"), (3, "y"), (None, "null key")}
-    plan = kept._jdf.queryExecution().executedPlan().toString()
+    plan = joins.keep_first(rows, "k", "o")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and "partial_min" in plan
     joined = joins.keep_first_join(spark.createDataFrame([(2,), (9,)], "k int"), rows, "k", "o").collect()
     assert {(r.k, r.v) for r in joined} == {(2, "only"), (9, None)}
