@@ -63,24 +63,96 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame
 PlanRow = tuple[int, int, int, int, int, int]
 
 
+class SumIndex:
+    """Which sums one, two or three of the available lengths make.
+
+    ``have[s]``, ``pairs[s]`` and ``triples[s]`` count the (ordered) ways to make ``s``; when a length is used up, its ways are taken out
+    by shifting the counts, so no pair or triple is listed.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.counts = {length: n for length, n in counts.items() if n and length <= capacity}
+        self.have = np.zeros(capacity + 1, dtype=np.int64)
+        self.have[list(self.counts)] = 1
+        self.pairs = self._times(self.have, self.have)
+        self.triples = self._times(self.pairs, self.have)
+
+    def _times(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(self.capacity + 1, dtype=np.int64)
+        for s in np.flatnonzero(b):
+            total[s:] += a[: self.capacity + 1 - s]
+        return total
+
+    def _shifted(self, a: np.ndarray, by: int) -> np.ndarray:
+        moved = np.zeros_like(a)
+        if by <= self.capacity:
+            moved[by:] = a[: self.capacity + 1 - by]
+        return moved
+
+    def use(self, parts: tuple[int, ...], n: int) -> None:
+        for length in parts:
+            self.counts[length] -= n
+        for length in set(parts):
+            if self.counts[length]:
+                continue
+            one = np.zeros_like(self.have)
+            one[0] = 1
+            # (have - x)^3 = have^3 - 3 have^2 x + 3 have x^2 - x^3, and the same for squares.
+            self.triples -= 3 * self._shifted(self.pairs, length) - 3 * self._shifted(self.have, 2 * length) + self._shifted(one, 3 * length)
+            self.pairs -= 2 * self._shifted(self.have, length) - self._shifted(one, 2 * length)
+            self.have[length] = 0
+
+    def available(self, parts: tuple[int, ...]) -> int:
+        """How many times over these lengths are there."""
+        return min(self.counts.get(p, 0) // parts.count(p) for p in parts)
+
+    def _pair(self, total: int, with_: tuple[int, ...], most: int) -> tuple[int, ...] | None:
+        low = np.arange((total + 1) // 2, min(total - 1, most) + 1)
+        for a in low[(self.have[low] > 0) & (self.have[total - low] > 0)][::-1].tolist():
+            if self.available((*with_, a, total - a)):
+                return (*with_, a, total - a)
+        return None
+
+    def complement(self, length: int, gap: int) -> tuple[int, ...] | None:
+        """``length`` and the one, two or three lengths that add up to ``gap``, the longest ones first; None if there are none."""
+        if not gap:
+            return (length,)
+        if self.have[gap] and self.available((length, gap)):
+            return (length, gap)
+        if self.pairs[gap] and (found := self._pair(gap, (length,), gap)):
+            return found
+        if self.triples[gap]:
+            firsts = np.arange(-(-gap // 3), gap - 1)
+            for a in firsts[(self.have[firsts] > 0) & (self.pairs[gap - firsts] > 0)][::-1].tolist():
+                if found := self._pair(gap - a, (length, a), a):
+                    return found
+        return None
+
+
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[PlanRow]:
     """Rows (length, first_rank, n_ranks, per_sequence, first_sequence, offset) that place all pieces.
 
     Ranks first_rank ... of a length lie, ``per_sequence`` in each, in consecutive sequences at ``offset`` and after it.
-    With few pieces, filling some sequences exactly can leave pieces that fit together badly; the plan that only fits each
-    length where it fits best is taken if it needs fewer sequences.
+
+    Exact fillings come first, longest lengths first: one, two or three available lengths that fill a sequence's gap exactly, as often
+    as the counts allow. Short lengths, an eighth of the capacity at first, are kept out of them, as the residuals' gaps need
+    something to be closed with, and so are pieces that the room beside long ones needs: what is left goes, longest first, into the
+    smallest gap that holds it. If that takes more
+    sequences than all lengths together need at least, other bounds for short lengths are tried and the best one is taken.
+    Each step uses up a length or a group of equal gaps, so the plan's size depends on the capacity, not on the pieces.
     """
-    plans = [_plan(counts, capacity, exact) for exact in (True, False)]
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    plans = []
+    for sixteenths in (2, 3, 4, 1, 0):
+        plans.append(_plan(counts, capacity, capacity * sixteenths // 16))
+        if plans[-1][1] <= least:
+            break
     return min(plans, key=lambda plan: plan[1])[0]
 
 
-def _plan(counts: dict[int, int], capacity: int, exact: bool) -> tuple[list[PlanRow], int]:
-    """A plan and its number of sequences.
-
-    Longest lengths first: where one, two or three available lengths fill a sequence's gap exactly, as many such sequences
-    are made as the counts allow. What is left goes, longest first, into the smallest gap that holds it.
-    Each step uses up a length or a group of equal gaps, so the plan's size depends on the capacity, not on the pieces.
-    """
+def _plan(counts: dict[int, int], capacity: int, short: int) -> tuple[list[PlanRow], int]:
+    """A plan whose exact fillings use no length below ``short``, and its number of sequences."""
     left = {length: n for length, n in counts.items() if n}
     used: dict[int, int] = defaultdict(int)
     rows: list[PlanRow] = []
@@ -90,40 +162,21 @@ def _plan(counts: dict[int, int], capacity: int, exact: bool) -> tuple[list[Plan
         rows.append((length, used[length], n * each, each, first, offset))
         used[length] += n * each
         left[length] -= n * each
-        if not left[length]:
-            del left[length]
-
-    def fits(parts: tuple[int, ...]) -> int:
-        return min(left.get(p, 0) // parts.count(p) for p in parts)
-
-    def complement(length: int) -> tuple[int, ...] | None:
-        gap = capacity - length
-        if not gap:
-            return (length,)
-        if fits((length, gap)):
-            return (length, gap)
-        lengths = sorted((x for x in left if x < gap), reverse=True)
-        for a in lengths:
-            if 2 * a < gap:
-                break
-            if fits((length, a, gap - a)):
-                return (length, a, gap - a)
-        for i, a in enumerate(lengths):
-            if 3 * a < gap:
-                break
-            for b in lengths[i:]:
-                c = gap - a - b
-                if c > b or c < 1:
-                    if c > b:
-                        break
-                    continue
-                if fits((length, a, b, c)):
-                    return (length, a, b, c)
-        return None
 
-    for length in sorted(left, reverse=True) if exact else []:
-        while length in left and (parts := complement(length)):
-            n, offset = fits(parts), 0
+    # Pieces above half the capacity need a sequence each. What the room beside them does not hold of the others may fill sequences
+    # without them; more would leave that room empty. A filling with such a piece takes as much from either side.
+    long = [length for length in left if 2 * length > capacity]
+    over = sum(length * n for length, n in left.items()) - capacity * sum(left[length] for length in long)
+    index = SumIndex({length: n for length, n in left.items() if length >= short}, capacity)
+    for length in sorted(index.counts, reverse=True):
+        while index.counts[length] and (parts := index.complement(length, capacity - length)):
+            n, offset = index.available(parts), 0
+            if 2 * length <= capacity:
+                n = min(n, -(-over // capacity))
+                if n <= 0:
+                    break
+                over -= n * capacity
+            index.use(parts, n)
             for part in sorted(set(parts), reverse=True):
                 place(part, n, parts.count(part), sequences, offset)
                 offset += part * parts.count(part)
@@ -131,7 +184,7 @@ def _plan(counts: dict[int, int], capacity: int, exact: bool) -> tuple[list[Plan
 
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> (first sequence, how many)
     for length in sorted(left, reverse=True):
-        while length in left:
+        while left[length]:
             gap = min((g for g in gaps if g >= length), default=None)
             if gap is None:
                 # As many in each new sequence as fit; a last sequence that stays short of them is made on its own.
