@@ -53,12 +53,55 @@ def _valid(kind: str, match: str) -> bool:
     return 9 <= len(digits) <= 15 if kind == "phone" else 12 <= len(digits) <= 19 and luhn(digits)
 
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """What the pattern finds, from the at signs: what may stand before one is read back no farther than the last match or sign."""
+    floor, at = 0, text.find("@")
+    while at >= 0:
+        start, end = at, None
+        while start > floor and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (domain := _DOMAIN.match(text, at + 1)):
+            end = domain.end()
+            yield start, end
+        floor = end or at + 1
+        at = text.find("@", floor)
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """What the pattern finds, from whole chains of numbers with dots: four and four of a chain from its start on."""
+    for chain in _DOTTED.finditer(text):
+        if chain[0].count(".") < 3:
+            continue
+        start, parts = chain.start(), chain[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[k : k + 4])) + 3
+            yield start, start + size
+            start += size + 1
+
+
+def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """The leftmost non-overlapping matches of a kind's pattern, in time that grows with the text alone.
+
+    Two patterns would be tried from every place of a long run that lacks a dot or an at sign; they have finders of their own.
+    """
+    if kind == "email":
+        return _emails(text)
+    if kind == "ip":
+        return _addresses(text)
+    return (m.span() for m in PATTERNS[kind].finditer(text))
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind that pass its check, by start and then kind."""
     found = []
     kinds = (("email",) if "@" in text else ()) + (("ip", "card", "phone") if _DIGIT.search(text) else ())
     for kind in kinds:
-        found += [(m.start(), m.end(), kind) for m in PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
+        found += [(a, b, kind) for a, b in _matches(kind, text) if _valid(kind, text[a:b])]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -137,7 +180,9 @@ class Field:
         if known is None:
             if len(self._known) > 100_000:
                 self._known.clear()
-            known = self._known[word] = self._score(word_features(word))
+            known = self._score(word_features(word))
+            if len(word) <= 100:
+                self._known[word] = known
         return known
 
     def __getstate__(self):
@@ -296,10 +341,12 @@ def _field_spans(texts: list[str], crf: Field) -> list[list[Span]]:
     runs = [(number, run) for number, text in enumerate(texts) for run in crf.open_runs(text)]
     if not runs:
         return found
+    # Where each text's first word begins and its last one ends.
+    ends = [(len(text) - len(text.lstrip()), len(text.rstrip())) for text in texts]
     paths = crf.viterbi(
         [crf.emissions(texts[number], run) for number, run in runs],
-        [not texts[number][: run[0][0]].strip() for number, run in runs],
-        [not texts[number][run[-1][1] :].strip() for number, run in runs],
+        [run[0][0] == ends[number][0] for number, run in runs],
+        [run[-1][1] == ends[number][1] for number, run in runs],
     )
     for (number, run), path in zip(runs, paths, strict=True):
         text, at = texts[number], 0
@@ -324,7 +371,14 @@ def all_spans(texts: list[str], crf: Field) -> list[tuple[list[Span], list[Span]
     result = []
     for text, added in zip(texts, _field_spans(texts, crf), strict=True):
         base = base_spans(text)
-        new = [s for s in added if all(s[1] <= b[0] or b[1] <= s[0] for b in base)]
+        new, at, reach = [], 0, 0
+        # Both by start: a new span is free if no base span that starts before its end reaches beyond its start.
+        for span in sorted(added):
+            while at < len(base) and base[at][0] < span[1]:
+                reach = max(reach, base[at][1])
+                at += 1
+            if reach <= span[0]:
+                new.append(span)
         result.append((base, sorted(base + new, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))))
     return result
 

@@ -1,6 +1,8 @@
 import hashlib
 import itertools
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -75,3 +77,100 @@ def test_masking_and_odd_rows(spark, crf):
     assert row.text == rows[7].masked and row.n_chars == len(row.text)
     assert clean.filter("doc_id = 1 and text is null").count() == 1
     assert pii.find_personal_data(no_documents(spark), crf=crf).count() == 0
+
+
+def plain_spans(text):
+    """The base patterns as they are written, each from left to right."""
+    found = []
+    for kind, pattern in pii.PATTERNS.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(part) > 255 for part in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(digits[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            found.append((m.start(), m.end(), kind))
+    return sorted(found, key=lambda s: (s[0], ["email", "ip", "card", "phone"].index(s[2])))
+
+
+def test_base_spans_and_digest_equal_the_patterns_on_random_texts(spark, crf):
+    draw = random.Random(6)
+    pieces = ["a", "Z9", "@", ".", "..", "1", "25", "256", "1.2.3.4", "4111 1111 1111 1111", "4111-1111", "+", "+1 (319) 555-5132", " ", "-", "(", "\n", "é", "_%", "b.c", "٣"]
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(1, 30))) for _ in range(6000)]
+    for text in texts:
+        assert pii.base_spans(text) == plain_spans(text), text
+    docs = spark.createDataFrame(list(enumerate(texts[:300])), "doc_id bigint, text string")
+    for r in pii.find_personal_data(docs, crf=crf, with_text=False).collect():
+        base = plain_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in pii.KINDS]
+        assert set(",".join(f"{k}:{a}:{b}" for a, b, k in base).split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_new_spans_never_touch_base_ones(crf):
+    draw = random.Random(8)
+    words = ["call", "(512) 555-0199", "a@b.cc", "peter@home", "10.0.0.1", "visa", "4000.0566.5566.5556", "+1 319 555 5132", "77", "x@y,1.2.3.4"]
+    for _ in range(300):
+        text = " ".join(draw.choices(words, k=12))
+        base, both = pii.all_spans([text], crf)[0]
+        added = [s for s in pii._field_spans([text], crf)[0] if all(s[1] <= b[0] or b[1] <= s[0] for b in base)]
+        assert sorted(both) == sorted(base + added)
+
+
+@pytest.mark.parametrize("unit", ["7", "a", "1.", "a@", "+1", "a@b.", "1 ", "4 - ", "x1 ", "+1(", "p@h "])
+def test_a_megabyte_takes_little(crf, unit):
+    text = unit * (10**6 // len(unit))
+    started = time.time()
+    pii.base_spans(text)
+    base = time.time() - started
+    assert base < 5, base
+    text = text[: 200_000]
+    started = time.time()
+    pii.all_spans([text], crf)
+    assert time.time() - started < 20
+
+
+# Lines that the field was not trained on.
+HELD_OUT = """
+please ring [phone: (408) 555-0143] after lunch
+phone number [phone: 917-555-0188] is free
+my mobile: [phone: 646.555.0111]
+tel. [phone: 030 555 0177] abends
+appelez le téléphone [phone: 01 55 50 98 76] demain
+mi teléfono es [phone: 93 555 98 76] gracias
+the office phone [phone: (202) 555-0171], second floor
+call [phone: 303 555 0199] or write
+write to [email: maria@intra] before friday
+email [email: webmaster@localhost] for access
+mail [email: jobs@corp.example.org] your letter
+contact [email: t.white@lab.example.edu] about it
+server [ip: 10.20.30.40] is down
+the address [ip: 172.16.0.9] was blocked
+visa [card: 4012.8888.8888.1881] was charged
+card [card: 4111 1111 1111 1111] expires soon
+mastercard [card: 5555-5555-5555-4444] on file
+in 2019 we counted 4512 birds and 33 nests
+section 4.2 of chapter 12 has 9 tables
+the match ended 3-2 after 120 minutes
+version 2.10.1 fixes 14 bugs
+order 88123 ships on 12/05/2020 at 9:30
+a distance of 1,200 km or 745 miles
+the code 00-11-22 opens nothing
+price 19.99 for 3 pieces
+room 4a in building 17
+""".strip().splitlines()
+
+
+def test_precision_and_recall_on_lines_it_was_not_trained_on(crf):
+    assert not set(HELD_OUT) & set(pii.EXAMPLES)
+    right = found = wanted = 0
+    for line in HELD_OUT:
+        words, labels = pii.labelled_words(line)
+        text = " ".join(words)
+        got = {(text[:a].count(" ") + k, kind) for a, b, kind in pii._field_spans([text], crf)[0] for k in range(text[a:b].count(" ") + 1)}
+        gold = {(k, pii.LABELS[label]) for k, label in enumerate(labels) if label}
+        right, found, wanted = right + len(got & gold), found + len(got), wanted + len(gold)
+    print("precision", right / found, "recall", right / wanted, right, found, wanted)
+    assert right / found >= 0.85 and right / wanted >= 0.85
