@@ -122,20 +122,23 @@ def fit(
     rounds: int = 8,
     quantile: float = 0.99,
     slack: float = 0.25,
+    languages: int = 500,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> LanguageModel:
     """Fit on at most ``rows_per_language`` labelled rows of each language, chosen by a hash of the id.
 
-    That bound is what the driver holds: so many vectors of ``DIMENSIONS`` counts for each language. Rows whose language
+    That bound is what the driver holds: so many vectors of ``DIMENSIONS`` counts for each of the ``languages`` most frequent labels. Rows whose language
     or text is null or whose text has no letter teach nothing. A language rejects what is farther away than a share
     ``quantile`` of its training rows, each judged by its length, plus ``slack``. Without usable rows the model knows no language.
     """
     sizes = labelled.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(languages)
     shares = [x for r in sizes.collect() for x in (F.lit(r["lang"]), F.lit((3 * rows_per_language + 50) / r["n"]))]
     # A first draw leaves about thrice the wanted rows, so that the exact choice below ranks a bounded number of rows.
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 30)) / (1 << 30)
+    # A label that is not among them has no share, and no row of it is drawn.
     share = F.create_map(*shares)[F.col(lang_col)] if shares else F.lit(0.0)
     drawn = labelled.filter(F.col(lang_col).isNotNull() & (draw < share)).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), whole_text(text_col).alias("text"), draw.alias("draw")

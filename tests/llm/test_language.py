@@ -35,6 +35,13 @@ def test_without_labels_nothing_is_known(spark):
     assert language.fit(no_documents(spark)).languages == []
 
 
+def test_only_the_most_frequent_labels_are_learned(spark):
+    rows = [(k, "some words of one language", "a" if k % 2 else "b" if k % 4 else "c") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert set(language.fit(docs, languages=1).languages) == {"a"}
+    assert set(language.fit(docs, languages=2).languages) == {"a", "b"} and set(language.fit(docs).languages) == {"a", "b", "c"}
+
+
 def test_counts_equal_counting_by_hand():
     text = "Ab ba"
     flat = b"ab ba   "
