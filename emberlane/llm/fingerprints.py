@@ -126,28 +126,55 @@ def differences(pairs: DataFrame, first: DataFrame | None, by: list[str], cells:
 # Neighbours in the order of ids --------------------------------------------------------------------------------------
 
 
-def with_next_text(rows: DataFrame, id_block: int = 256, block_block: int = 4096) -> DataFrame:
+def _bucket(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` lie at or below ``value``, by binary search; of ``value`` 0 where there are none."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    held = F.array(*[F.lit(c).cast("bigint") for c in cuts])
+
+    def step(found: Column, by: Column) -> Column:
+        tried = found + by
+        inside = F.get(held, F.least(tried, F.lit(len(cuts))) - 1) <= value
+        return F.when((tried <= len(cuts)) & inside, tried).otherwise(found)
+
+    return F.reduce(F.array(*[F.lit(k) for k in steps]), F.lit(0), step)
+
+
+def id_blocks(rows: DataFrame, blocks: int) -> Column:
+    """A number for each row of (id, text): blocks of about equally many rows, in the order of descending ids, nulls last by text.
+
+    The cuts are approximate quantiles of the ids and, for rows without one, of the first seven bytes of their texts, so neither the
+    spread of the ids nor a missing one gathers rows. Rows that repeat one id, or lack it and begin alike, share a block.
+    """
+    beginning = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    shares = [k / blocks for k in range(1, blocks)] or [0.5]
+    cut = lambda value: F.percentile_approx(value, shares, 100 * blocks)
+    found = rows.agg(cut(F.col("id").cast("bigint")).alias("ids"), cut(F.when(F.col("id").isNull(), beginning)).alias("texts")).first()
+    ids, texts = (sorted(set(found[name] or [])) for name in ("ids", "texts"))
+    below = blocks + 1 + _bucket(beginning, texts)
+    return F.when(F.col("id").isNull(), below).otherwise(blocks - _bucket(F.col("id").cast("bigint"), ids)).cast("bigint")
+
+
+def with_next_text(rows: DataFrame, blocks: int | None = None) -> DataFrame:
     """``rows`` (id, text) with ``next_text``: the text of the next row by descending id, of the first one for the last row.
 
-    Texts are shuffled once, in blocks of ``id_block`` neighbouring ids; only a block's first and last row travel once more.
-    Equal ids are ordered by text, null ids come last.
+    Texts are shuffled once, in blocks of neighbouring ids, two for each shuffle partition unless ``blocks`` says how many; only a
+    block's first and last row travel once more. Equal ids are ordered by text, null ids come last.
     """
-    blocked = rows.withColumn("block", F.coalesce(F.floor(F.col("id") / id_block), F.lit(-(1 << 62))).cast("bigint"))
+    blocks = blocks or 2 * _parts(rows)
+    blocked = rows.withColumn("block", id_blocks(rows, blocks))
     falling = Window.partitionBy("block").orderBy(F.desc_nulls_last("id"), "text")
     rising = Window.partitionBy("block").orderBy(F.asc_nulls_first("id"), F.desc("text"))
     inside = blocked.withColumn("next_text", F.lead("text").over(falling)).filter(F.col("next_text").isNotNull())
     heads = blocked.withColumn("nth", F.row_number().over(falling)).filter("nth = 1")
     tails = blocked.withColumn("nth", F.row_number().over(rising)).filter("nth = 1")
 
-    blocks = blocked.select("block").distinct().withColumn("outer", F.floor(F.col("block") / block_block))
-    blocks = materialise(blocks, "id-blocks")
-    following = blocks.withColumn("inner_next", F.lead("block").over(Window.partitionBy("outer").orderBy(F.desc("block"))))
-    # One row for a million neighbouring ids, in one window.
-    ends = blocks.groupBy("outer").agg(F.max("block").alias("top"))
-    whole = Window.orderBy(F.desc("outer"))
+    # Twice as many rows as ``blocks`` at most, in one window.
+    there = materialise(blocked.select("block").distinct(), "id-blocks")
+    whole = Window.orderBy("block")
     every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("outer", F.coalesce(F.lead("top").over(whole), F.first("top").over(every)).alias("outer_next"))
-    following = following.join(ends, "outer").select("block", F.coalesce("inner_next", "outer_next").alias("next_block"))
+    following = there.select("block", F.coalesce(F.lead("block").over(whole), F.first("block").over(every)).alias("next_block"))
     first_texts = heads.select(F.col("block").alias("next_block"), F.col("text").alias("next_text"))
     across = tails.join(following, "block").join(first_texts, "next_block")
     columns = ["id", "text", "next_text"]

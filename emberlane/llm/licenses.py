@@ -105,39 +105,31 @@ class TemplateIndex:
 
 
 def _wrapped(index: TemplateIndex, lines: list[list[bytes]], first: int) -> list[tuple[int, int, float]]:
-    """(line, template, share) for templates that only several lines of a paragraph, which starts at line ``first``, hold.
+    """(line, template, share) for templates that several lines of a paragraph, which starts at line ``first``, hold.
 
-    Between its first and its last line a run of lines may hold no more words than the template. Runs are cut to the
-    fewest lines that reach the threshold, then grow while that adds words of the template.
+    Between its first and its last line a run of lines may hold no more words than the template. From every line the longest such
+    run is looked at, as more lines never hold less; it counts if it reaches the threshold, if it holds more than its first line
+    alone, and if the run from the next line holds less. The runs' ends move on with their starts, so each line is taken in and out once.
     """
     found = []
+    before = [0, *itertools.accumulate(len(line) for line in lines)]
     for number, _ in index.matches(frozenset().union(*lines)):
-        words, least, longest = index.words[number], index.least[number], index.lengths[number]
+        words, longest = index.words[number], index.lengths[number]
         held = [words.intersection(line) for line in lines]
-        start = 0
-        while start < len(lines):
-            have: set[bytes] = set()
-            inner, end = 0, start
-            while end < len(lines) and inner <= longest:
-                have |= held[end]
-                if len(have) >= least:
-                    break
-                inner += len(lines[end]) if end > start else 0
+        inside: Counter[bytes] = Counter()
+        best, end = [], 0  # the window holds the lines from the start to before ``end``
+        for start in range(len(lines)):
+            while end < len(lines) and (end <= start or before[end] - before[start + 1] <= longest):
+                inside.update(held[end])
                 end += 1
-            if len(have) < least:
-                start += 1
-                continue
-            while len(set().union(*held[start + 1 : end + 1])) >= least:
-                start += 1
-            have = set().union(*held[start : end + 1])
-            inner = sum(len(line) for line in lines[start + 1 : end + 1])
-            while end + 1 < len(lines) and inner <= longest and held[end + 1] - have:
-                end += 1
-                have |= held[end]
-                inner += len(lines[end])
-            if end > start:
-                found.append((first + start, number, len(have) / len(words)))
-            start = end + 1
+            best.append(len(inside))
+            for word in held[start]:
+                inside[word] -= 1
+                if not inside[word]:
+                    del inside[word]
+        for start, n in enumerate(best):
+            if n >= index.least[number] and n > len(held[start]) and (start + 1 == len(best) or n > best[start + 1]):
+                found.append((first + start, number, n / len(words)))
     return found
 
 
@@ -212,8 +204,9 @@ def scan_licenses(
 ) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    A block is a line; with ``wrapped`` it is also a run of consecutive non-blank lines about as long as the template, for
-    notices wrapped over lines, and named by its first line. ``matches`` names every block whose word set holds at least ``threshold`` of a template's word set;
+    A block is a line; with ``wrapped`` it is also a run of consecutive lines with words, between whose first and last line stand no
+    more words than the template has, for notices wrapped over lines: from each line the longest such run, named by that line,
+    unless the run from the next line holds as much. ``matches`` names every block whose word set holds at least ``threshold`` of a template's word set;
     ``score`` is the largest such share, 1 where a phrase itself stands, else 0. ``labels`` adds the matches' labels to
     those of the phrases. Two scans: one counts the templates' words, one finds; nothing of the documents is shuffled.
 

@@ -1,4 +1,7 @@
 import hashlib
+import random
+
+from pyspark.sql import functions as F
 
 from emberlane.llm import fingerprints
 from tests.llm.tables import TEXTS, no_documents, odd_documents
@@ -43,6 +46,25 @@ def test_edits_and_likeness_equal_brute_force(spark):
     assert same[0] == same[6] and same[0] != same[7] and same[1] == same[2] == ""
 
 
+def neighbours_by_hand(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    return sorted(((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)), key=repr)
+
+
+def test_neighbours_of_sparse_repeated_and_missing_ids(spark):
+    draw = random.Random(2)
+    rows = [(draw.randrange(-(1 << 62), 1 << 62), f"t{k}") for k in range(300)] + [(5, f"same {k}") for k in range(40)]
+    rows += [(None, f"{chr(33 + k % 90)} none {k}") for k in range(200)] + [(None, "")] * 3 + [(k, f"é{k}") for k in range(50)]
+    for part in (rows, rows[:1], rows[340:], rows[300:340], rows[:0]):
+        table = spark.createDataFrame(part, "id bigint, text string").repartition(3)
+        for blocks in (1, 2, 7, 64):
+            got = fingerprints.with_next_text(table, blocks).collect()
+            assert sorted((tuple(r) for r in got), key=repr) == neighbours_by_hand(part)
+    table = spark.createDataFrame(rows, "id bigint, text string")
+    sizes = [r.n for r in table.groupBy(fingerprints.id_blocks(table, 16).alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) <= 60
+
+
 def test_recovered_digests_are_the_differing_paragraphs(spark):
     docs = spark.createDataFrame([(2, "a\nb\nc\nd"), (1, "x\ny\nz\nw")], "doc_id bigint, text string")
     row = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}[2]

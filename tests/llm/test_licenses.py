@@ -14,7 +14,32 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
-def brute(text, templates, threshold):
+def brute_runs(flat, templates, threshold):
+    """All runs of lines of a paragraph, tried one by one."""
+    lines = [WORD.findall(line) for line in flat.split("\n")]
+    found = set()
+    for number, (label, template) in enumerate(templates):
+        wanted, size = set(WORD.findall(lower(template))), len(WORD.findall(lower(template)))
+
+        def most(start, wanted=wanted, size=size):
+            best = 0
+            for end in range(start, len(lines)):
+                if not lines[end]:
+                    break
+                if sum(map(len, lines[start + 1 : end])) > size:
+                    break
+                best = max(best, len(wanted & {w for line in lines[start : end + 1] for w in line}))
+            return best
+
+        for start in range(len(lines)):
+            if lines[start]:
+                n, later = most(start), most(start + 1) if start + 1 < len(lines) and lines[start + 1] else 0
+                if n >= threshold * len(wanted) - 1e-9 and n > len(wanted & set(lines[start])) and n > later:
+                    found.add((label, number, start, n / len(wanted)))
+    return found
+
+
+def brute(text, templates, threshold, wrapped=False):
     flat = lower(text or "")
     words = WORD.findall(flat)
     places = []
@@ -28,6 +53,8 @@ def brute(text, templates, threshold):
             wanted = set(WORD.findall(lower(template)))
             if len(wanted & have) >= threshold * len(wanted) - 1e-9:
                 matches.add((label, number, block, len(wanted & have) / len(wanted)))
+    if wrapped:
+        matches |= brute_runs(flat, templates, threshold)
     base = {label for _, label in places}
     starts = sorted(i for i, _ in places)
     return (
@@ -42,21 +69,23 @@ def brute(text, templates, threshold):
     )
 
 
+@pytest.mark.parametrize("wrapped", [False, True])
 @pytest.mark.parametrize("threshold", [0.5, 0.9])
-def test_scan_equals_brute_force(spark, threshold):
+def test_scan_equals_brute_force(spark, threshold, wrapped):
     draw = random.Random(5)
     rows = list(TEXTS)
     for k in range(120):
         lines = []
         for _ in range(draw.randint(1, 4)):
             words = draw.choice(licenses.TEMPLATES)[1].split()
-            lines.append(" ".join(w for w in words + ["mit", "License", "x1"] if draw.random() < 0.85))
+            line = " ".join(w for w in words + ["mit", "License", "x1"] if draw.random() < 0.85)
+            lines += textwrap.wrap(line, draw.choice((20, 60, 1000))) + draw.choice(([], [""], ["***"], ["the software"]))
         rows.append((100 + k, "\n".join(lines)))
     docs = spark.createDataFrame([(k, t, 1) for k, (_, t) in enumerate(rows)], "doc_id bigint, text string, word int")
-    for r in licenses.scan_licenses(docs, threshold=threshold).collect():
+    for r in licenses.scan_licenses(docs, threshold=threshold, wrapped=wrapped).collect():
         matches = {(m.label, m.template, m.block, m.containment) for m in r.matches}
         got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, matches)
-        assert got == brute(rows[r.doc_id][1], licenses.TEMPLATES, threshold)
+        assert got == brute(rows[r.doc_id][1], licenses.TEMPLATES, threshold, wrapped)
 
 
 def test_odd_rows_and_no_templates(spark):
