@@ -11,14 +11,21 @@ from tests.conftest import SMALL
 ALL = sorted(QUERIES)
 
 
+# On the smallest data a feature tells the classes apart without error, so the likelihood has no maximum and its estimates
+# grow until the iterations end. These are compared on data where there is one.
+NO_MAXIMUM = {"ml_logit", "ml_logit_scores", "ml_logit_weighted", "job_box_scores", "eval_model_table"}
+LARGER = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
-def con():
-    return duck(SMALL)
+def cons():
+    return {folder: duck(folder) for folder in (SMALL, LARGER)}
 
 
 @pytest.mark.parametrize("name", ALL)
-def test_query_matches_sql(spark, con, name):
-    good, note = compare(spark, con, SMALL, name)
+def test_query_matches_sql(spark, cons, name):
+    folder = LARGER if name in NO_MAXIMUM else SMALL
+    good, note = compare(spark, cons[folder], folder, name)
     assert good, note
 
 
