@@ -149,7 +149,7 @@ def id_blocks(rows: DataFrame, blocks: int) -> Column:
     """
     beginning = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
     shares = [k / blocks for k in range(1, blocks)] or [0.5]
-    cut = lambda value: F.percentile_approx(value, shares, 100 * blocks)
+    cut = lambda value: F.percentile_approx(value, shares, max(10_000, 10 * blocks))
     found = rows.agg(cut(F.col("id").cast("bigint")).alias("ids"), cut(F.when(F.col("id").isNull(), beginning)).alias("texts")).first()
     ids, texts = (sorted(set(found[name] or [])) for name in ("ids", "texts"))
     below = blocks + 1 + _bucket(beginning, texts)
@@ -159,10 +159,10 @@ def id_blocks(rows: DataFrame, blocks: int) -> Column:
 def with_next_text(rows: DataFrame, blocks: int | None = None) -> DataFrame:
     """``rows`` (id, text) with ``next_text``: the text of the next row by descending id, of the first one for the last row.
 
-    Texts are shuffled once, in blocks of neighbouring ids, two for each shuffle partition unless ``blocks`` says how many; only a
+    Texts are shuffled once, in blocks of neighbouring ids, sixteen for each shuffle partition (so that partitions even out) unless ``blocks`` says how many; only a
     block's first and last row travel once more. Equal ids are ordered by text, null ids come last.
     """
-    blocks = blocks or 2 * _parts(rows)
+    blocks = blocks or 16 * _parts(rows)
     blocked = rows.withColumn("block", id_blocks(rows, blocks))
     falling = Window.partitionBy("block").orderBy(F.desc_nulls_last("id"), "text")
     rising = Window.partitionBy("block").orderBy(F.asc_nulls_first("id"), F.desc("text"))
