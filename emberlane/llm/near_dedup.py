@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -311,14 +311,20 @@ def one_of_each_group(
 ) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that stay: of each group of linked rows the one with the smallest id.
 
-    Rows get a key of their own first, so that of rows with equal ids one stays too, and rows without an id (the last
-    choice in a group) are kept and dropped like any others. Texts without words are linked with nothing and all stay.
+    A row is told by its id and a digest of its text, so that of rows with equal ids one stays too, and rows without an id (the last
+    choice in a group) are kept and dropped like any others; rows equal in both are one. Texts without words are linked with
+    nothing: they stay, once for each id. The texts are not copied; the kept rows are fetched by one join.
     """
-    key = next(f"row_key{'_' * k}" for k in range(len(docs.columns) + 1) if f"row_key{'_' * k}" not in docs.columns)
-    # Written, as a row's number must be the same whenever the table is read again.
-    own = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-    keyed = materialise(docs.withColumn(key, own), "keyed-documents")
-    found = near_duplicates(keyed, percent=percent, coordinates=coordinates, matches=matches, id_col=key, text_col=text_col)
-    # A kept row is its component's name, so names are unique.
-    kept = materialise(found.filter("kept").select(F.col(key)["row"].alias("kept_row")), "kept-rows")
-    return keyed.join(kept.hint("shuffle_hash"), keyed[key]["row"] == kept["kept_row"], "left_semi").select(*docs.columns)
+    names = ("no_id", "id", "digest")
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.struct(*[c.alias(n) for c, n in zip((F.col(id_col).isNull(), F.col(id_col), digest), names, strict=True)])
+    told = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(told, percent=percent, coordinates=coordinates, matches=matches, id_col="key", text_col="text").filter("kept")
+    # Plain columns without nulls: the join and the window after it use one shuffle.
+    flat = lambda c: (c["no_id"], F.coalesce(c["id"].cast("string"), F.lit("")), c["digest"])
+    own = [next(f"{n}_{'_' * k}" for k in range(len(docs.columns) + 1) if f"{n}_{'_' * k}" not in docs.columns) for n in names]
+    kept = materialise(found.select(*[c.alias(n) for c, n in zip(flat(F.col("key")), own, strict=True)]).distinct(), "kept-rows")
+    keyed = docs.withColumns(dict(zip(own, flat(key), strict=True)))
+    rows = keyed.join(kept.hint("shuffle_hash"), own, "left_semi")
+    first = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(*docs.columns)))
+    return rows.select(*docs.columns, first.alias("_first_of_its_key")).filter("_first_of_its_key = 1").select(*docs.columns)
