@@ -22,7 +22,9 @@ DIMENSIONS = 4096
 #: from ``SHORT_RADIUS`` to the language's own radius, half-way at ``HALF_WAY`` distinct terms.
 SHORT_RADIUS = 0.98
 HALF_WAY = 100
-_ROWS = 1000
+# One call's texts: the arrays beside them take some sixty times their bytes.
+_ROWS = 500
+_BYTES = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 # Lower-case letters and all bytes of non-ASCII characters stay, the rest becomes a space.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -107,7 +109,7 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def _training_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, rows=_ROWS):
+    for batch in slices(batches, most=_BYTES, rows=_ROWS):
         counts = term_counts(batch.column("text").to_pylist()).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [batch.column("lang"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"]
@@ -174,7 +176,7 @@ def fit(
 
 def _predict(model: LanguageModel, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, rows=_ROWS):
+        for batch in slices(batches, most=_BYTES, rows=_ROWS):
             lang, score, kept = zip(*model.predict(batch.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(lang), pa.array(score, pa.float64()), pa.array(kept, pa.bool_())], schema=schema
@@ -203,7 +205,7 @@ def keep_accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "tex
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, place, rows=_ROWS):
+        for batch in slices(batches, place, most=_BYTES, rows=_ROWS):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([kept for _, _, kept in model.predict(texts)], pa.bool_()))
 
