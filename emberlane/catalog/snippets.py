@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from emberlane.functions import constants
+
+
+def quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def listed(values: Iterable[str]) -> str:
+    return f"({', '.join(quoted(v) for v in values)})"
+
+
+def looked_up(column: str, table: dict[str, str]) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in table.items())}"
+
 
 def date(text: str) -> str:
     return f"CAST(try_strptime({text}, '%m/%d/%Y') AS DATE)"
@@ -15,25 +31,20 @@ def moment(text: str) -> str:
     return f"try_strptime({text}, '%m/%d/%Y %I:%M:%S %p')"
 
 
-IS_FALSE_ALARM = "INCIDENT_CLASSIFICATION IN ('Alarm System - Defective', 'Alarm System - Unnecessary')"
+IS_FALSE_ALARM = f"INCIDENT_CLASSIFICATION IN {listed(constants.FALSE_ALARM_LABELS)}"
 FALSE_ALARM = f"CASE WHEN {IS_FALSE_ALARM} THEN 1 WHEN INCIDENT_CLASSIFICATION IS NOT NULL THEN 0 END"
 FALSE_ALARM_OR_ZERO = f"CASE WHEN {IS_FALSE_ALARM} THEN 1 ELSE 0 END"
-FIRE_GROUPS = "('Structural Fires', 'NonStructural Fires', 'NonMedical Emergencies', 'NonMedical MFAs')"
+FIRE_GROUPS = listed(constants.FIRE_GROUPS)
 PADDED_BOX = "CASE WHEN length(ALARM_BOX_NUMBER) BETWEEN 1 AND 4 THEN lpad(ALARM_BOX_NUMBER, 4, '0') END"
 
 
 def recoded(column: str) -> str:
-    return (
-        f"CASE {column} WHEN 'MN' THEN 'Manhattan' WHEN 'BK' THEN 'Brooklyn' WHEN 'SI' THEN 'Staten Island' "
-        f"WHEN 'BX' THEN 'Bronx' WHEN 'QN' THEN 'Queens' ELSE {column} END"
-    )
+    return f"{looked_up(column, constants.BOROUGH_NAMES)} ELSE {column} END"
 
 
-CORRECTED_BOROUGH = """CASE WHEN BOROUGH = '' THEN coalesce(CASE PREM_ADDR
-    WHEN '10 GRAND ARMY PLZ' THEN 'Brooklyn' WHEN '1 WORLDS FAIR MARINA' THEN 'Queens'
-    WHEN '21 WEST END AVE' THEN 'Manhattan' WHEN '30-30 THOMPSON AVE' THEN 'Queens'
-    WHEN '254-14 UNION TNPK' THEN 'Queens' WHEN '17-19 HAZEN ST' THEN 'Queens'
-    WHEN '186-16 UNION TNPK' THEN 'Queens' END, BOROUGH) ELSE BOROUGH END"""
+CORRECTED_BOROUGH = (
+    f"CASE WHEN BOROUGH = '' THEN coalesce({looked_up('PREM_ADDR', constants.BOROUGH_BY_ADDRESS)} END, BOROUGH) ELSE BOROUGH END"
+)
 
 
 def split_sum(text: str) -> str:

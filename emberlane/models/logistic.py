@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Levels that a factor may have; each is a term of the model and a number in the driver's memory.
+MAX_LEVELS = 1000
+
 
 @dataclass
 class LogisticModel:
@@ -41,12 +44,22 @@ class LogisticModel:
         return table.withColumn("odds", F.exp("estimate"))
 
 
-def factor_levels(df: DataFrame, categorical: Sequence[str]) -> dict[str, list[str]]:
-    """The levels of each factor, as many as the model has terms for it."""
+def factor_levels(df: DataFrame, categorical: Sequence[str], most: int = MAX_LEVELS) -> dict[str, list[str]]:
+    """The levels of each factor, in order, as many as the model has terms for it.
+
+    They are held by the driver, so a factor of more than ``most`` levels is refused and no more rows than that are fetched.
+    """
     if not categorical:
         return {}
-    found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in categorical]).first()
-    return {c: list(found[c]) for c in categorical}
+    pairs = [F.struct(F.lit(c).alias("factor"), F.col(c).cast("string").alias("level")) for c in categorical]
+    found = df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*").where(F.col("level").isNotNull()).distinct()
+    levels: dict[str, list[str]] = {c: [] for c in categorical}
+    for r in found.limit(most * len(categorical) + 1).collect():
+        levels[r["factor"]].append(r["level"])
+    for c, own in levels.items():
+        if len(own) > most:
+            raise ValueError(f"factor {c} has more than {most} levels")
+    return {c: sorted(own) for c, own in levels.items()}
 
 
 def score_all_rows(
@@ -80,6 +93,7 @@ def fit_logistic(
     categorical: Sequence[str] = (),
     weight: Column | None = None,
     max_iter: int = 25,
+    max_levels: int = MAX_LEVELS,
 ) -> LogisticModel:
     """Fit by iterated weighted least squares on the training rows without NULLs.
 
@@ -88,7 +102,7 @@ def fit_logistic(
     features every iteration reads the distinct combinations, not the rows. The
     alphabetically first level of a factor is the reference. A factor with one level has no
     term; the model names it in ``constant``, and says in ``converged`` whether ``max_iter`` cut the
-    iterations short.
+    iterations short. A factor of more than ``max_levels`` levels is an error.
     """
     used = train.select(
         F.col(outcome).cast("double").alias(outcome),
@@ -96,7 +110,7 @@ def fit_logistic(
         *[F.col(c).cast("string").alias(c) for c in categorical],
         (F.lit(1.0) if weight is None else weight.cast("double")).alias("_weight"),
     ).na.drop("any")
-    levels = factor_levels(used, categorical)
+    levels = factor_levels(used, categorical, max_levels)
     factors = [c for c in categorical if len(levels[c]) > 1]
     terms = [*factors, *numeric]
     merged = used.groupBy(outcome, *terms).agg(F.sum("_weight").alias("_weight")).persist()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlane.functions import dates, logic, text
-from emberlane.models import evaluation
+from emberlane.models import evaluation, logistic
 from emberlane.operators import aggregates, columns, filters, joins, ranking
 
 
@@ -193,3 +193,13 @@ def test_calibration_bins_close_on_the_right(spark):
     # Roles swapped: truth as score and the prediction as class fills the end bins only.
     swapped = {r.bin: r.n for r in evaluation.calibration(df.selectExpr("int(s > 0.1) p", "t"), "p", "t", 0).collect()}
     assert {b for b, n in swapped.items() if n} == {1, 10}
+
+
+def test_factors_of_too_many_levels_are_refused(spark):
+    rows = spark.createDataFrame([(f"l{k % 7}", f"z{k}", None) for k in range(30)] + [(None, None, None)], "a string, b string, c string")
+    assert logistic.factor_levels(rows, ["a", "c"]) == {"a": [f"l{k}" for k in range(7)], "c": []}
+    assert len(logistic.factor_levels(rows, ["a", "b"], 30)["b"]) == 30
+    for most in (29, 6):
+        with pytest.raises(ValueError, match="more than"):
+            logistic.factor_levels(rows, ["a", "b"], most)
+    assert logistic.factor_levels(rows.filter("false"), ["a"]) == {"a": []} and logistic.factor_levels(rows, []) == {}
