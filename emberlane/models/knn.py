@@ -3,7 +3,8 @@
 Training points are assigned to the nearest of a bounded set of pivots, taken
 from the training points themselves. For a query, the triangle inequality gives
 for every pivot's cell a least possible distance, so only cells that can hold one
-of the k nearest are joined. Nothing is left out and no full product is formed.
+of the k nearest are joined. Inside a cell a tree over its points leaves out those
+that are too far away. No neighbour is left out and no product is formed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,9 @@ from emberlane.session import materialise
 MAX_PIVOTS = 1024
 # Points and queries of a cell joined as one group; larger cells are cut into lanes both ways.
 LANE_ROWS = 10_000
+# Points in a leaf of a cell's tree, and queries that go down the tree together.
+LEAF_ROWS = 32
+CHUNK = 2000
 
 
 def _squared(features: Sequence[str], other, own=F.col) -> Column:
@@ -72,7 +78,7 @@ def _pivot_bound(distances: np.ndarray, k: int) -> np.ndarray:
 
 
 def _visit_schema(features: Sequence[str]) -> str:
-    return ", ".join([*[f"`{f}` double" for f in features], "_bound double", "_d double", "_cell int"])
+    return ", ".join([*[f"`{f}` double" for f in features], "_bound double", "_cell int"])
 
 
 def _assigned(cells: Cells, features: list[str]):
@@ -95,7 +101,7 @@ def _home_visits(cells: Cells, features: list[str], k: int):
             to = cells.distances(batch[features].to_numpy(float))
             home = to.argmin(axis=1)
             d = to[np.arange(len(to)), home]
-            yield batch[features].assign(_bound=_pivot_bound(to, k) + _slack(d), _d=d, _cell=home.astype(np.int32))
+            yield batch[features].assign(_bound=_pivot_bound(to, k) + _slack(d), _cell=home.astype(np.int32))
 
     return visit
 
@@ -114,11 +120,121 @@ def _other_visits(cells: Cells, features: list[str], k: int):
             open_cells[np.arange(len(to)), to.argmin(axis=1)] = False
             row, cell = np.nonzero(open_cells)
             found = batch[features].iloc[row].reset_index(drop=True)
-            yield found.assign(_bound=limit[row, cell], _d=to[row, cell], _cell=cell.astype(np.int32))
+            yield found.assign(_bound=limit[row, cell], _cell=cell.astype(np.int32))
 
     return visit
 
 
+class Tree:
+    """Points of one group, halved at the median of their widest feature until a leaf holds ``LEAF_ROWS`` of them.
+
+    ``at`` holds a row per point, in the order that settles equal distances.
+    """
+
+    def __init__(self, at: np.ndarray):
+        n, width = at.shape
+        self.depth = max(0, math.ceil(math.log2(max(1, n) / LEAF_ROWS)))
+        leaves = 1 << self.depth
+        ends = np.arange(leaves + 1) * n // leaves
+        order = np.arange(n)
+        for level in range(self.depth):
+            step = leaves >> level
+            for start in range(0, leaves, step):
+                low, middle, high = ends[start], ends[start + step // 2], ends[start + step]
+                inside = at[order[low:high]]
+                widest = inside[:, (inside.max(axis=0) - inside.min(axis=0)).argmax()]
+                order[low:high] = order[low:high][np.argpartition(widest, middle - low)]
+        # Leaves are filled up to one length with points at no distance that counts, numbered after all others.
+        place = ends[:-1, None] + np.arange(np.diff(ends).max())
+        filled = place < ends[1:, None]
+        self.rows = np.where(filled, order[np.minimum(place, n - 1)], n)
+        self.at = np.where(filled[:, :, None], at[np.minimum(self.rows, n - 1)], np.inf)
+        low = self.at.min(axis=1)
+        high = np.where(filled[:, :, None], self.at, -np.inf).max(axis=1)
+        # Boxes of the nodes of each depth, the root's first.
+        self.boxes = [(low, high)]
+        for _ in range(self.depth):
+            low, high = np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])
+            self.boxes.insert(0, (low, high))
+        self.size = n
+        self.compared = 0
+
+    def _to_box(self, at: np.ndarray, depth: int, node: np.ndarray) -> np.ndarray:
+        """Squared distances to boxes, never above those to the points inside."""
+        low, high = self.boxes[depth]
+        gaps = np.maximum(np.maximum(low[node] - at, at - high[node]), 0.0)
+        return (gaps * gaps).sum(axis=1) * (1 - 1e-9)
+
+    def nearest(self, asked: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances and rows of the k nearest points no farther than ``bound``; rows past the last one are ``size``."""
+        d2 = np.full((len(asked), k), np.inf)
+        rows = np.full((len(asked), k), self.size)
+        limit = bound * bound * (1 + 1e-9)
+        # The leaf a query comes to by the nearer half each time tightens its bound before others are looked for.
+        leaf = np.zeros(len(asked), dtype=np.int64)
+        for depth in range(1, self.depth + 1):
+            right = self._to_box(asked, depth, 2 * leaf + 1) < self._to_box(asked, depth, 2 * leaf)
+            leaf = 2 * leaf + right
+        every = np.arange(len(asked))
+        self._look(asked, every, leaf, limit, d2, rows)
+        query, node = every, np.zeros(len(asked), dtype=np.int64)
+        least = np.zeros(len(asked))
+        for depth in range(1, self.depth + 1):
+            query, node = np.repeat(query, 2), np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+            least = self._to_box(asked[query], depth, node)
+            near = least <= limit[query]
+            query, node, least = query[near], node[near], least[near]
+        near = node != leaf[query]
+        query, node, least = query[near], node[near], least[near]
+        order = np.lexsort((least, query))
+        query, node, least = query[order], node[order], least[order]
+        # The nearest other leaf of every query, then the second nearest of those that still need one, ...
+        while len(query):
+            first = np.r_[True, query[1:] != query[:-1]]
+            self._look(asked, query[first], node[first], limit, d2, rows)
+            near = ~first & (least <= limit[query])
+            query, node, least = query[near], node[near], least[near]
+        return d2, rows
+
+    def _look(self, asked: np.ndarray, query: np.ndarray, leaf: np.ndarray, limit: np.ndarray, d2: np.ndarray, rows: np.ndarray) -> None:
+        """Put the points of one leaf for each of the queries named among their nearest."""
+        k = d2.shape[1]
+        at = self.at[leaf]
+        found = np.zeros(at.shape[:2])
+        # Added up feature by feature as in ``_squared``.
+        for i in range(asked.shape[1]):
+            gap = asked[query, None, i] - at[:, :, i]
+            found += gap * gap
+        self.compared += found.size
+        mine = found <= limit[query, None]
+        all_d2 = np.concatenate([d2[query], np.where(mine, found, np.inf)], axis=1)
+        all_rows = np.concatenate([rows[query], np.where(mine, self.rows[leaf], self.size)], axis=1)
+        best = np.lexsort((all_rows, all_d2), axis=1)[:, :k]
+        d2[query] = np.take_along_axis(all_d2, best, axis=1)
+        rows[query] = np.take_along_axis(all_rows, best, axis=1)
+        limit[query] = np.minimum(limit[query], d2[query, -1] * (1 + 1e-9))
+
+
+def _searched(features: list[str], k: int, schema: pa.Schema):
+    """The k nearest points of every query of a group, both as Arrow tables."""
+
+    def search(asked: pa.Table, points: pa.Table) -> pa.Table:
+        if not asked.num_rows or not points.num_rows:
+            return schema.empty_table()
+        points = points.take(pc.sort_indices(points, sort_keys=[("_id", "ascending")]))
+        tree = Tree(np.column_stack([points["_p_" + f].to_numpy() for f in features]))
+        where = np.column_stack([asked[f].to_numpy() for f in features])
+        bound = asked["_bound"].to_numpy()
+        found = [tree.nearest(where[i : i + CHUNK], bound[i : i + CHUNK], k) for i in range(0, len(where), CHUNK)]
+        d2, rows = (np.concatenate(x) for x in zip(*found, strict=True))
+        query, rank = np.nonzero(rows < tree.size)
+        near = points.select(["_id", "label"]).take(pa.array(rows[query, rank]))
+        columns = [*(pa.array(where[query, i]) for i in range(len(features))), near["_id"], near["label"], pa.array(d2[query, rank])]
+        return pa.table(columns, schema=schema)
+
+    return search
+
+
 @dataclass
 class KnnModel:
     features: list[str]
@@ -196,10 +312,16 @@ class KnnModel:
         )
         points = self.points.withColumnsRenamed({name: "_p_" + name for name in f}).join(crowds, "_cell")
         answering = points.withColumn("_crowd", F.explode(F.sequence(F.lit(0), F.col("_crowds") - 1))).drop("_crowds")
-        gap = F.abs(F.col("_d") - F.col("_radius"))
-        pairs = asking.join(answering, ["_cell", "_lane", "_crowd"]).where(gap <= F.col("_bound"))
-        scored = pairs.select(*f, "_id", "label", _squared(f, lambda name: F.col("_p_" + name)).alias("_d2"))
-        return self._closest(scored)
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = T.StructType(
+            [*[T.StructField(name, T.DoubleType()) for name in f], self.points.schema["_id"], self.points.schema["label"], T.StructField("_d2", T.DoubleType())]
+        )
+        group = ["_cell", "_lane", "_crowd"]
+        search = _searched(f, self.k, to_arrow_schema(schema))
+        pairs = asking.select(*f, "_bound", *group).groupBy(*group)
+        found = pairs.cogroup(answering.select(*["_p_" + name for name in f], "_id", "label", *group).groupBy(*group))
+        return self._closest(found.applyInArrow(search, schema))
 
     def _closest(self, scored: DataFrame) -> DataFrame:
         order = Window.partitionBy(*self.features).orderBy("_d2", "_id")
@@ -271,5 +393,5 @@ def fit_knn(
     cells = Cells(pivots, blank.copy(), blank.copy(), blank.astype(int))
     for r in sizes.collect():
         cells.near[r["_cell"]], cells.far[r["_cell"]], cells.lanes[r["_cell"]] = r["near"], r["far"], r["lanes"]
-    lane = F.pmod(F.xxhash64("_id"), F.element_at(F.lit(cells.lanes.tolist()), F.col("_cell") + 1).cast("long"))
+    lane = F.pmod(F.xxhash64("_id", *features), F.element_at(F.lit(cells.lanes.tolist()), F.col("_cell") + 1).cast("long"))
     return KnnModel(features, k, scales, points=assigned.withColumn("_lane", lane.cast("int")), cells=cells)

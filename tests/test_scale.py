@@ -159,6 +159,35 @@ def test_knn_lanes_cut_large_cells(spark, monkeypatch):
     assert {r.id: r.prediction for r in model.predict(qdf).collect()} == brute_knn(train, queries, 3)
 
 
+def test_tree_finds_the_nearest_rows_without_comparing_all():
+    rng = np.random.default_rng(7)
+    # Places on a grid: many equal distances, which the order of the rows settles.
+    places = lambda n: np.column_stack([rng.poisson(6, n), rng.poisson(6, n), rng.integers(0, 300, n) / 1024]).astype(float)
+    at, asked = places(6000), places(300)
+    every = sum((asked[:, None, i] - at[None, :, i]) ** 2 for i in range(3))
+    for bound in (np.full(300, np.inf), 2 * rng.random(300)):
+        tree = knn.Tree(at)
+        d2, rows = tree.nearest(asked, bound, 5)
+        for q in range(300):
+            near = [i for i in np.lexsort((np.arange(6000), every[q]))[:5] if every[q, i] <= bound[q] ** 2]
+            assert rows[q][rows[q] < 6000].tolist() == near
+            assert d2[q][: len(near)].tolist() == every[q, near].tolist()
+        assert tree.compared < 300 * 6000 / 20
+    for n in (1, 2, 33):
+        assert sorted(knn.Tree(at[:n]).nearest(asked[:1], np.array([np.inf]), 40)[1][0].tolist())[:n] == list(range(n))
+
+
+def test_knn_orders_equal_distances_by_text_ids(spark):
+    train = [(f"p{(7 * i) % 400}", i % 3, (float(i % 20), float(i // 20))) for i in range(400)]
+    queries = [(i, (i % 19 + 0.5, i // 19 + 0.5)) for i in range(60)]
+    tdf = spark.createDataFrame([(i, y, *v) for i, y, v in train], "id string, y int, a double, b double")
+    qdf = spark.createDataFrame([(i, *v) for i, v in queries], "id int, a double, b double")
+    model = knn.fit_knn(tdf, "id", "y", ["a", "b"], k=3, max_pivots=4)
+    found = model.neighbours(qdf.select("a", "b")).groupBy("a", "b").agg(F.sort_array(F.collect_list("_id")).alias("ids"))
+    near = lambda v: sorted(i for _, i in sorted((sum((x - y) ** 2 for x, y in zip(v, p)), i) for i, _, p in train)[:3])
+    assert {(r.a, r.b): r.ids for r in found.collect()} == {v: near(v) for _, v in queries}
+
+
 def test_knn_scaling_changes_the_metric(spark):
     tdf = spark.createDataFrame([(1, 0, 0.0, 1000.0), (2, 1, 1.0, 0.0), (3, 1, 1.0, 10.0)], "id int, y int, a double, b double")
     qdf = spark.createDataFrame([(9, 0.0, 450.0)], "id int, a double, b double")
