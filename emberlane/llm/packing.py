@@ -236,8 +236,7 @@ def ranked(pieces: DataFrame, rows_per_window: int = 50_000) -> DataFrame:
     sizes = dealt.groupBy("length", "lane").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    # One row for each length and lane: as many lanes as windows, so far fewer rows than pieces.
-    starts = materialise(starts, "lane-starts")
+    # One row for each length and lane, read once: written, they would only add a small file for each lane.
     inside = F.row_number().over(Window.partitionBy("length", "lane").orderBy("id", "piece", "start", "ids_crc32"))
     numbered = dealt.withColumn("inside", inside)
     return numbered.join(starts, ["length", "lane"]).withColumn("rank", F.col("before") + F.col("inside") - 1)

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from emberlane.llm import packing, queries
+from emberlane.session import materialise
 
 
 def ways(counts, gap):
@@ -80,3 +81,15 @@ def test_exact_fillings_reach_the_least_number_of_sequences(spark, size, least):
         filled[p.sequence_id] += p.length
     assert len(filled) == least == -(-sum(p.length for p in pieces) // 2048)
     assert sum(n == 2048 for n in filled.values()) >= 0.6 * least
+
+
+def test_only_the_pieces_are_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(packing, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    docs = spark.createDataFrame([(i, f"document {i % 3} " * (i % 7)) for i in range(60)], "doc_id long, text string")
+    rows = packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), capacity=16).collect()
+    assert written == ["pieces"]
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert {r.doc_id for r in rows} == set(range(60)) and all(offset + length <= 16 for _, offset, length in taken)
+    for (a, at, length), (b, to, _) in zip(taken, taken[1:]):
+        assert to == (at + length if a == b else 0)
