@@ -144,7 +144,7 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[PlanRow]:
     """
     least = -(-sum(length * n for length, n in counts.items()) // capacity)
     plans = []
-    for sixteenths in (2, 3, 4, 1, 0):
+    for sixteenths in (2, 3, 4, 1, 0, 5, 6, 7, 8):
         plans.append(_plan(counts, capacity, capacity * sixteenths // 16))
         if plans[-1][1] <= least:
             break

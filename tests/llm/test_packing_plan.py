@@ -93,3 +93,8 @@ def test_only_the_pieces_are_written(spark, monkeypatch):
     assert {r.doc_id for r in rows} == set(range(60)) and all(offset + length <= 16 for _, offset, length in taken)
     for (a, at, length), (b, to, _) in zip(taken, taken[1:]):
         assert to == (at + length if a == b else 0)
+
+
+def test_pieces_that_only_the_room_beside_long_ones_holds_are_kept_for_it():
+    plan = packing.plan_sequences({19: 8, 10: 12, 1: 1, 2: 1, 22: 8}, 40)
+    assert max(first + n // each for _, _, n, each, first, _ in plan) <= 14
