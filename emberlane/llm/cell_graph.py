@@ -267,9 +267,10 @@ class NearestRows:
         with np.errstate(over="ignore", invalid="ignore"):
             # Squared lengths less their rounding; that of a row is one more number of its vector.
             far, length = (np.einsum("rd,rd->r", x, x) * kind(1 - slack) for x in (rows, asked))
+            finite = np.isfinite(far).all() and np.isfinite(length).all()
             rows, asked = np.hstack([rows, far[:, None]]), np.hstack([asked * kind(-2), np.ones((len(asked), 1), kind)])
-            for q in range(0, len(asked), 128):
-                some = slice(q, q + 128)
+            for q in range(0, len(asked), 256):
+                some = slice(q, q + 256)
                 for r in range(0, len(rows), 1024):
                     part = slice(r, r + 1024)
                     d = asked[some] @ rows[part].T
@@ -279,10 +280,10 @@ class NearestRows:
                         self._settle(q + np.repeat(first, self.n + 1), near.ravel(), ids[part], vec[part])
                     bound = np.nextafter((self.scores[some, -1] ** 2 * (1 + slack) - length[some]).astype(kind), kind(np.inf))
                     near = d <= bound[:, None]
-                    if not near.any() and np.isfinite(far).all() and np.isfinite(length[some]).all():
-                        continue
-                    # What is no number, as lengths are too large, is measured.
-                    hit = np.flatnonzero(near | ~np.isfinite(d))
+                    if not finite:
+                        # What is no number, as lengths are too large, is measured.
+                        near |= ~np.isfinite(d)
+                    hit = np.flatnonzero(near) if near.any() else ()
                     if len(hit):
                         which, row = np.divmod(hit, d.shape[1])
                         self._settle(q + which, row, ids[part], vec[part])
